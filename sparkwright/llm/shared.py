@@ -57,9 +57,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = e.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).unionByName(
-            e.select(F.col("b").alias("c"), F.col("a").alias("a")).join(least, "a").filter("c > a").select(F.col("c").alias("a"), F.col("m").alias("b"))
-        ).filter("a <> b").distinct()
+        large = e.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         e = materialise(small, label)
@@ -71,14 +69,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def shard_stream(index: DataFrame, queries: DataFrame, shards: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def shard_stream(index: DataFrame, queries: DataFrame, shards: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, home: str | None = None) -> DataFrame:
     """Give each of ``shards`` tasks its own rows of ``index`` (column shard) first, then every row of ``queries``, as a stream.
 
     Both frames have the same columns besides ``shard``. ``run`` sees a column ``role``: 0 for index rows, 1 for queries.
-    Memory is one shard of the index and one batch of queries; queries are copied once a shard.
+    Memory is one shard of the index and one batch of queries; queries are copied once a shard, but not to the one in
+    their column ``home`` if that is named.
     """
     own = index.withColumn("role", F.lit(0))
     asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("role", F.lit(1))
+    asked = asked.filter(F.col("shard") != F.col(home)) if home else asked
     rows = own.unionByName(asked.select(*own.columns)).repartitionById(shards, F.col("shard").cast("int"))
     return rows.sortWithinPartitions("role").mapInArrow(run, schema)
 
