@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwright.llm import mixing, sharding, spm
+from sparkwright.llm import balltree, blocks, hnsw, jaccard, licenses, mixing, quality, sharding, spm, warc
 
 #: Target weights of the query and of the pipeline's stage: blocks of each source in a cycle of 60.
 WEIGHTS = {f"src{k}": 1 + k % 5 for k in range(20)}
@@ -19,6 +20,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.transform(x, lambda c: F.floor(F.lit(64.0) * c).cast("double"))
+    finite = _table(spark, sf_dir, "embeddings").select("vec_id", F.when(finite, whole).alias("embedding"))
+    return balltree.top_k(finite, finite.filter("vec_id % 20 = 0"))
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS)
 
@@ -27,5 +40,43 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixing, op5_sentencepiece)}
-ORACLE: dict[str, str] = {}
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = quality.feature_table(_table(spark, sf_dir, "documents"))
+    return quality.score_table(table, quality.fit(table, _table(spark, sf_dir, "labels")))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_top_k, op3_near_vectors, op4_mixing, op5_sentencepiece, op6_licenses, op7_jaccard_join, op8_warc, op9_quality, op10_html)}
+
+ORACLE = {
+    "op2_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages),
+        f AS (SELECT page_id, n, d, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+            CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to FROM f""",
+}
