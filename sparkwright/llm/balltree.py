@@ -123,20 +123,23 @@ def _searches(k: int):
         trees: dict[int, BallTree] | None = None
         for batch in batches:
             ids, role, known = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("id", "role", "known"))
-            for rows, x in matrix(batch.column(batch.schema.get_field_index("v"))):
+            found = matrix(batch.column(batch.schema.get_field_index("v")))
+            for rows, x in found:
                 own = role[rows] == 0
                 if own.any():
                     held.setdefault(x.shape[1], []).append((ids[rows[own]], x[own]))
-                if own.all():
-                    continue
-                if trees is None:
-                    trees = {d: BallTree(*(np.concatenate(c) for c in zip(*parts, strict=True))) for d, parts in held.items()}
+            if (role == 0).all():
+                continue
+            if trees is None:  # all rows of the index have come
+                trees = {d: BallTree(*(np.concatenate(c) for c in zip(*parts, strict=True))) for d, parts in held.items()}
+            for rows, x in found:
+                asks = role[rows] == 1
                 tree = trees.get(x.shape[1])
-                asked, q = rows[~own], x[~own]
+                asked, q = rows[asks], x[asks]
                 for a in range(0, len(q) if tree else 0, TOGETHER):
                     part = asked[a : a + TOGETHER]
-                    for where, found, score in tree.search(ids[part], q[a : a + TOGETHER], known[part], k):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][where], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+                    for where, best, score in tree.search(ids[part], q[a : a + TOGETHER], known[part], k):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][where], pa.int64()), pa.array(best, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 

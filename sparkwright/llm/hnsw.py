@@ -190,32 +190,38 @@ class Graph:
             beam *= 2
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that the squares stay finite
+    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+
 def _links(least: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         graphs: dict[int, tuple[Graph, np.ndarray, np.ndarray, np.ndarray]] | None = None
         for batch in batches:
             ids, role, copies = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("id", "role", "copies"))
-            for rows, x in matrix(batch.column(batch.schema.get_field_index("v"))):
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that the squares stay finite
-                x = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+            found = matrix(batch.column(batch.schema.get_field_index("v")))
+            for rows, x in found:
                 own = role[rows] == 0
                 if own.any():
-                    held.setdefault(x.shape[1], []).append((x[own], ids[rows[own]], copies[rows[own]]))
-                if own.all():
-                    continue
-                if graphs is None:
-                    graphs = {}
-                    for d, parts in held.items():
-                        v, i, c = (np.concatenate(z) for z in zip(*parts, strict=True))
-                        g = Graph(v)
-                        graphs[d] = g, i[g.order], c[g.order], np.arange(len(i))
-                if x.shape[1] not in graphs:
+                    held.setdefault(x.shape[1], []).append((_unit(x[own]), ids[rows[own]], copies[rows[own]]))
+            if (role == 0).all():
+                continue
+            if graphs is None:  # all rows of the index have come
+                graphs = {}
+                for d, parts in held.items():
+                    v, i, c = (np.concatenate(z) for z in zip(*parts, strict=True))
+                    g = Graph(v)
+                    graphs[d] = g, i[g.order], c[g.order], np.arange(len(i))
+            for rows, x in found:
+                asks = role[rows] == 1
+                if not asks.any() or x.shape[1] not in graphs:
                     continue
                 g, known, count, root = graphs[x.shape[1]]
-                asked = ids[rows[~own]]
+                asked = ids[rows[asks]]
                 out: list[tuple[int, int, int]] = []
-                for q, hit in zip(asked.tolist(), g.audited(x[~own], least, recall), strict=True):
+                for q, hit in zip(asked.tolist(), g.audited(_unit(x[asks]), least, recall), strict=True):
                     hit = hit[known[hit] != q]
                     if len(hit):
                         out.append((q, int(count[hit].sum()), int(known[hit[0]])))
