@@ -72,8 +72,8 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, space
             word = np.cumsum(first[where]) - 1
             place = where - at[word]
             power = _POWERS[place & 63]
-            if len(place) and place.max() > 63:
-                power = mix(power + (place >> 6).astype(np.uint64)) | U(1)
+            far = place > 63
+            power[far] = mix(power[far] + (place[far] >> 6).astype(np.uint64)) | U(1)
             terms = (fold[data[start:stop][where]].astype(np.uint64) + U(1)) * power
             hashes.append(mix(np.add.reduceat(terms, np.searchsorted(where, at))))
             begins.append(at + start)

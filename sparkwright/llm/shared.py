@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.gettempdir()}/sparkwright-{os.getpid()}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return f"file://{_own_dir()}"
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="sparkwright-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
