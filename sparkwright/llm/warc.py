@@ -38,6 +38,8 @@ from sparkwright.llm.shared import materialise, shared_dir
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records after which a task starts another package, and bytes of one range that is read.
 PACKAGE, RANGE = 64 << 20, 4 << 20
+#: Most tasks that read packages; beyond it a task reads several.
+MOST_TASKS = 20_000
 TYPE = "application/http; msgtype=response"
 
 
@@ -212,7 +214,7 @@ def read(packages: DataFrame, folder: str, keep: bool = False) -> DataFrame:
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     schema = "key long, size long, digest string, kind string, refers long" + (", payload binary" if keep else "")
-    return packages.repartition("name").mapInArrow(run, schema)
+    return packages.repartition(max(1, min(packages.count(), MOST_TASKS))).mapInArrow(run, schema)  # a task a package, which adaptive plans leave alone
 
 
 def round_trip(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
