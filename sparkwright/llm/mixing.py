@@ -66,7 +66,7 @@ def _schedule(groups: DataFrame, weights: list[int], block: int) -> tuple[DataFr
     slots = slots.select("kind", "g", "m", "first", "length", "slot", "base", F.expr("released[g][m]").alias("rel"), F.expr("released[g][m + 1]").alias("due"))
     sources = one.select("starts", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(n - 1)).alias("g"), "a", "rows", "blocks")))
     ends = _placed(sources.filter("blocks > 0").withColumn("j", F.col("blocks") - 1), slots).select(F.struct("block_slot", (F.col("blocks") * block - F.col("rows")).alias("missing")).alias("e"))
-    return sources.select("g", "a", "starts", F.lit(1).alias("_one")), slots, ends.agg(F.collect_list("e").alias("ends"))
+    return sources.select("g", "a", "starts"), slots, ends.agg(F.collect_list("e").alias("ends"))
 
 
 def _placed(rows: DataFrame, slots: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int], rest: int = 1, block: int =
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(*found, *whole).withColumn("g", g)
     sources, slots, ends = _schedule(docs.select(F.col(source).cast("string").alias("source")).select(g.alias("g")), counts, block)
-    # the weights bound all three tables; ends has one row
-    sources = F.broadcast(sources.join(F.broadcast(ends.select("ends", F.lit(1).alias("_one"))), "_one"))
+    # the weights bound all three tables; ends is one row, read as a scalar
+    sources = F.broadcast(sources.withColumn("ends", ends.scalar()))
     out = numbered(rows, "g", ["key", "crc"], "r").join(sources, "g").withColumn("j", F.expr(f"r div {block}"))
     out = _placed(out, slots)
     short = F.aggregate("ends", F.lit(0).cast("long"), lambda x, e: x + F.when(e["block_slot"] < F.col("block_slot"), e["missing"]).otherwise(0))
