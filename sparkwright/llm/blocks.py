@@ -157,7 +157,7 @@ def vectors(blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
     x[:, k + 3] = np.minimum(stops / np.maximum(n, 1), 1)
     x[:, k + 4] = [b[1][-1] in ".!?:" for b in blocks]
     x[:, k + 5] = np.array([len(b[0]) for b in blocks]) / 10
-    x[:, k + 6] = [any(c in b[1] for c in "©|»›") for b in blocks]
+    x[:, k + 6] = ["©" in b[1] for b in blocks]
     x[:, k + 7] = 1
     return x
 

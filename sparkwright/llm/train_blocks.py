@@ -36,6 +36,15 @@ class Writer:
         if self.r.random() < 0.15:
             i = self.r.randrange(len(ws))
             ws[i] = self.r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<code>{}</code>", "{} &amp;", "&quot;{}&quot;"]).format(ws[i])
+        odd = self.r.random()
+        if odd < 0.04:
+            return mark + " | ".join(ws)
+        if odd < 0.06:
+            return mark + " ".join(w + self.r.choice(["###", "$$$", "%%%", "&&&", "!!"]) for w in ws)
+        if odd < 0.08:
+            return mark + " ".join(ws).upper() + self.r.choice(["!", "", " »", " ..."])
+        if odd < 0.1:
+            return mark + " ".join([ws[0]] * len(ws))
         return mark + " ".join(ws).capitalize() + "."
 
     def prose(self, mark: str, low: int = 1, high: int = 6) -> str:
