@@ -26,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.bytewords import U, mix, parts, shingle_sets
@@ -252,8 +252,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     firsts = some.join(alike.select("n", "p", "q", F.col("first").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi")
     met = firsts.select("doc_id", "marks").mapInArrow(_first_of_batch, "mark long, a long, b long")
     marks = met.filter("mark IS NOT NULL").select("mark", "a")
-    lowest = marks.groupBy("mark").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("mark", "low")
-    near = marks.join(lowest, "mark").filter("low < a").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    # a mark has one row a batch at most, so its group is small beside the input and one exchange serves
+    lowest = marks.withColumn("low", F.min("a").over(Window.partitionBy("mark")))
+    near = lowest.filter("low < a").select(F.col("low").alias("a"), F.col("a").alias("b"))
     near = near.unionByName(met.filter("b IS NOT NULL").select("a", "b"))
     family = components(near, "families").withColumnsRenamed({"node": "doc_id", "root": "family"})
     sized = firsts.groupBy("doc_id").agg(F.sum("n").alias("n")).join(family, "doc_id")
@@ -262,7 +263,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     def search(asks: DataFrame, label: str) -> DataFrame:
         """asks: doc_id, family, block, role."""
-        held = rows.join(asks, "doc_id").select("family", "block", "doc_id", "role", "text")
+        held = rows.join(asks.hint("merge"), "doc_id").select("family", "block", "doc_id", "role", "text")
         dealt = held.repartition("family", "block").sortWithinPartitions("family", "block", "role")
         return materialise(dealt.mapInArrow(_search(k, limit), "a long, b long"), label)
 
