@@ -248,7 +248,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     told = materialise(rows.mapInArrow(_describe(k, limit), "doc_id long, n long, p long, q long, marks array<long>"), "sets")
     some = told.filter("n > 0 AND doc_id IS NOT NULL")
-    alike = some.groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # kept as a table, so that joins with it exchange both sides and large groups of copies can be split
+    alike = materialise(some.groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "alike")
     firsts = some.join(alike.select("n", "p", "q", F.col("first").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi")
     met = firsts.select("doc_id", "marks").mapInArrow(_first_of_batch, "mark long, a long, b long")
     marks = met.filter("mark IS NOT NULL").select("mark", "a")
