@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from sparkwright.plans import catalog_documents, catalog_records, catalog_shapes
+
+PARTS = (catalog_documents, catalog_records, catalog_shapes)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Hybrid retrieval of the benchmark passages among the documents."""
+    return QUERIES["hybrid_retrieve"](spark, sf_dir).withColumn("score", F.col("score"))
