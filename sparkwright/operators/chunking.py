@@ -20,22 +20,13 @@ def sections(docs: DataFrame, size: int = PARENT) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = F.split("text", r"(?m)(?=^#{1,4}\s+\S)")
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / size), F.lit(0))), lambda i: F.substr(F.col("text"), (i * size + 1).cast("int"), F.lit(size)))
-    rows = rows.select("doc_id", headed(F.col("text")).alias("headed"), F.when(headed(F.col("text")), F.filter(cut, lambda p: F.trim(p) != "")).otherwise(blocks).alias("parts"))
-    rows = rows.select("doc_id", "headed", F.posexplode("parts").alias("section_index", "part")).filter(F.trim("part") != "")
+    rows = rows.select("doc_id", headed(F.col("text")).alias("headed"), F.when(headed(F.col("text")), F.filter(cut, lambda p: F.btrim(p, F.lit(" \t\r\n")) != "")).otherwise(blocks).alias("parts"))
+    rows = rows.select("doc_id", "headed", F.posexplode("parts").alias("section_index", "part")).filter(F.btrim("part", F.lit(" \t\r\n")) != "")
     head = F.regexp_extract("part", r"^#{1,4}\s+([^\n]*)", 1)
     title = F.when(~F.col("headed"), F.concat(F.lit("Section "), (F.col("section_index") + 1).cast("string"))).when(F.col("part").rlike(r"^#{1,4}\s"), F.trim(head)).otherwise("Preamble")
     return rows.select("doc_id", "section_index", title.alias("title"), F.btrim("part", F.lit(" \t\r\n")).alias("body"))
 
 
-def _packed(parts: str, join: str, size: int) -> str:
-    """SQL that packs an array of pieces into chunks: a fold with the chunk being filled and those done."""
-    return f"""aggregate({parts}, struct('' AS cur, CAST(array() AS array<string>) AS done),
-        (s, p) -> CASE WHEN s.cur = '' THEN struct(p AS cur, s.done AS done)
-            WHEN length(s.cur) + length(p) + {len(join.encode().decode("unicode_escape"))} <= {size} THEN struct(concat(s.cur, '{join}', p) AS cur, s.done AS done)
-            ELSE struct(p AS cur, concat(s.done, array(s.cur)) AS done) END,
-        s -> CASE WHEN s.cur = '' THEN s.done ELSE concat(s.done, array(s.cur)) END)"""
-
-
 def children(parents: DataFrame, text: str = "body", size: int = CHILD) -> DataFrame:
     """Adds child_index and child: paragraphs packed up to ``size`` characters; a longer paragraph is packed by sentences.
 
