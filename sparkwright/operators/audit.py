@@ -57,32 +57,84 @@ def assert_no_egress(found: DataFrame) -> DataFrame:
     return verdict(found).withColumn("checked", F.assert_true(F.col("egress") == 0, F.lit("packets leave this machine")))
 
 
-#: What a script may not import, call or reach.
-MODULES = frozenset("asyncio code codeop concurrent ctypes fcntl ftplib gc http imaplib importlib inspect io marshal mmap multiprocessing os pathlib pdb pickle pkgutil platform poplib pty requests resource runpy select selectors shelve shutil signal site smtplib socket socketserver sqlite3 ssl subprocess sys sysconfig tempfile threading traceback urllib uuid weakref webbrowser winreg xmlrpc zipimport".split())
-CALLS = frozenset("__import__ breakpoint compile delattr eval exec getattr globals help input locals memoryview open setattr vars".split())
-ATTRIBUTES = frozenset("__base__ __bases__ __builtins__ __class__ __code__ __dict__ __func__ __getattribute__ __globals__ __import__ __loader__ __mro__ __reduce__ __reduce_ex__ __self__ __spec__ __subclasses__ __subclasshook__".split())
+#: What a script may not import, call, write to, reach or open for.
+MODULES = frozenset(
+    "socket requests urllib urllib3 http ftplib telnetlib smtplib imaplib poplib nntplib asyncio aiohttp xmlrpc socketserver ssl websockets websocket httpx paramiko ftpmirror ipaddress "
+    "subprocess os posix nt shutil pty commands multiprocessing threading signal ctypes cffi resource fcntl termios "
+    "importlib imp builtins __builtin__ types inspect code codeop dis marshal pickle shelve dbm sqlite3 tempfile sys platform gc".split()
+)
+CALLS = frozenset("eval exec compile __import__ globals locals vars dir getattr setattr delattr breakpoint input memoryview help".split())
+FILE_METHODS = frozenset("write_text write_bytes unlink rmdir rename replace mkdir touch chmod lchmod".split())
+PROCESS_METHODS = frozenset("system popen spawn fork kill".split())
+ATTRIBUTES = frozenset("__class__ __bases__ __base__ __mro__ __subclasses__ __globals__ __code__ __builtins__ __closure__ __func__ __self__ __reduce__ __reduce_ex__ __loader__ __spec__ __package__ __dict__ modules".split())
+READ_MODES = frozenset(("r", "rb", "rt", "rU"))
+
+
+def _open_fault(call: ast.Call) -> str | None:
+    """What is wrong with the mode of an open() call."""
+    if any(isinstance(a, ast.Starred) for a in call.args) or any(k.arg is None for k in call.keywords):
+        return "open() with a mode that is not a constant"
+    mode = call.args[1] if len(call.args) > 1 else next((k.value for k in call.keywords if k.arg == "mode"), ast.Constant("r"))
+    if not isinstance(mode, ast.Constant) or not isinstance(mode.value, str):
+        return "open() with a mode that is not a constant"
+    return None if mode.value in READ_MODES else f"open() for '{mode.value}'"
+
+
+def _faults(node: ast.AST, called: set[int]) -> Iterator[str]:
+    root = lambda name: (name or "").split(".")[0]
+    match node:
+        case ast.Import(names=names):
+            yield from (f"import of '{n.name}'" for n in names if root(n.name) in MODULES)
+        case ast.ImportFrom(module=module, names=names):
+            if root(module) in MODULES:
+                yield f"import from '{module}'"
+            yield from (f"import of '{n.name}'" for n in names if n.name in MODULES | CALLS | ATTRIBUTES)
+        case ast.Call(func=ast.Name(id=name)):
+            if name in CALLS:
+                yield f"call of '{name}'"
+            elif name == "open" and (fault := _open_fault(node)):
+                yield fault
+        case ast.Call(func=ast.Attribute(attr=name)):
+            if name in CALLS | FILE_METHODS | PROCESS_METHODS:
+                yield f"call of '{name}'"
+            elif name == "open" and (fault := _open_fault(node)):
+                yield fault
+        case ast.Attribute(attr=name) if name in ATTRIBUTES:
+            yield f"use of '{name}'"
+        case ast.Name(id=name) if id(node) not in called:
+            if name in CALLS | ATTRIBUTES or name == "open" or name in ("os", "sys", "subprocess", "socket"):
+                yield f"use of '{name}'"
+        case ast.Subscript(slice=ast.Constant(value=str(name))) if name in CALLS | ATTRIBUTES:
+            yield f"access to '{name}'"
 
 
 def scan_script(code: str | None) -> list[str]:
-    """Numbered findings in order, without repeats; a syntax error or an empty script is one."""
+    """Numbered findings by line, without repeats; a syntax error or an empty script is one."""
     if not code or not code.strip():
-        return ["empty script"]
+        return ["line 0: empty script"]
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError) as e:
         return [f"line {getattr(e, 'lineno', 0) or 0}: syntax error"]
-    found = []
-    for node in ast.walk(tree):
-        at = getattr(node, "lineno", 0)
-        names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
-        found += [(at, f"import of {n}") for n in names if n.split(".")[0] in MODULES]
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in CALLS:
-            found.append((at, f"call of {node.func.id}"))
-        if isinstance(node, ast.Attribute) and node.attr in ATTRIBUTES:
-            found.append((at, f"use of {node.attr}"))
-        if isinstance(node, ast.Name) and node.id in ("__builtins__", "__loader__"):
-            found.append((at, f"use of {node.id}"))
-    return list(dict.fromkeys(f"line {n}: {what}" for n, what in sorted(found)))
+    nodes = list(ast.walk(tree))
+    called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
+    found = sorted((getattr(n, "lineno", 0), i, what) for i, n in enumerate(nodes) for what in _faults(n, called))
+    return list(dict.fromkeys(f"line {at}: {what}" for at, _, what in found))
+
+
+#: Module names that the browser's plainer scan looks for.
+BROWSER_NAMES = ("socket", "urllib", "requests", "http.client", "os.system", "subprocess", "shutil")
+
+
+def browser_scan(code: Column) -> Column:
+    """The first of BROWSER_NAMES after ``import`` or ``from``, else null."""
+    return F.coalesce(*[F.when(code.contains(f"import {n}") | code.contains(f"from {n}"), F.lit(n)) for n in BROWSER_NAMES])
+
+
+def telemetry(sockets: DataFrame, status: str, packets: int, wan: int, epoch: int) -> DataFrame:
+    """Sockets once by (pid, laddr, raddr, status), the first by seq, with the integrity hash of the verdict."""
+    first = sockets.groupBy("pid", "laddr", "raddr", "status").agg(F.min_by("process", "seq").alias("process"))
+    return first.withColumn("integrity", F.sha2(F.lit(f"airgap:{status}:{packets}:{wan}:{epoch}"), 256))
 
 
 def scan_scripts(scripts: DataFrame) -> DataFrame:

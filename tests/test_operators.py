@@ -202,7 +202,7 @@ def test_audit(spark):
     with pytest.raises(Exception, match="packets leave"):
         audit.assert_no_egress(found).collect()
     assert one(spark, audit.normalised(F.lit("PASS"), F.lit(1), F.lit(0)))["status"] == "WARNING"
-    assert audit.scan_script("x = 1") == [] and len(audit.scan_script("import os, json\nopen('x')\n().__class__")) == 3
+    assert audit.scan_script("x = open('a', 'rb').read()") == [] and len(audit.scan_script("import os, json\nopen('x', 'w')\n().__class__\nf = open\np.unlink()\nd['__globals__']")) == 6
     env = audit.scrubbed(spark.createDataFrame([("HTTP_PROXY", "x"), ("PATH", "y"), ("AWS_KEY", "z")], "k string, v string"), ["HTTP_PROXY"], ["AWS_"])
     assert [r["k"] for r in env.collect()] == ["PATH"]
 
