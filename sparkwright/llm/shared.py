@@ -31,10 +31,23 @@ def _own_dir() -> str:
     return path
 
 
+#: Tables that this session has written.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the work tables of this session; frames that read them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors do not lose it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

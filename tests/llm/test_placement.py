@@ -106,3 +106,13 @@ def test_mixed_rows_keep_all_columns(spark):
     assert mixing.mixed_rows(spark.createDataFrame([], SCHEMA), {"s0": 2}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s0": 0})
+
+
+def test_work_tables_can_be_released(spark):
+    from sparkwright.llm import shared
+
+    df = shared.materialise(spark.range(5), "numbers")
+    assert df.count() == 5 and df.inputFiles()
+    shared.release(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(df.inputFiles()[0]).count()
