@@ -13,7 +13,7 @@ import numpy as np
 
 from sparkwright.llm.blocks import FIGURES, WIDTH, Labeller, _sigmoid, cut, run_lstm, vectors
 
-UNITS = 20
+UNITS = 24
 #: Marks that tell the label of the words near them while training; cut() keeps them, and they are removed before vectors().
 YES, NO = "␂", "␃"
 
@@ -45,6 +45,8 @@ class Writer:
             return mark + " ".join(ws).upper() + self.r.choice(["!", "", " »", " ..."])
         if odd < 0.1:
             return mark + " ".join([ws[0]] * len(ws))
+        if odd < 0.14:
+            return mark + self.r.choice(["{0}.", "{0} of.", "Tel. +1 (555) 010-{1}", "{0}@{0}.example", "Licensed under {0} {1}.0.", "{1} {1} {1}"]).format(self.word(), self.r.randrange(1000, 9999))
         return mark + " ".join(ws).capitalize() + "."
 
     def prose(self, mark: str, low: int = 1, high: int = 6) -> str:
@@ -184,7 +186,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, m: np.ndar
     return loss, g
 
 
-def train(pages: int = 3000, epochs: int = 12, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(pages: int = 6000, epochs: int = 14, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = {"v": rng.normal(0, 0.3, 2 * UNITS), "c": np.zeros(1)}
     for d in "fb":
