@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -149,31 +149,29 @@ class Lists:
         #: One ascending key for each posting, for the binary searches.
         self.keys = (np.cumsum(new) - 1) * max(self.n, 1) + self.docs
 
-    def search(self, s: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-        """The sets linked with s, besides those that ``skip`` marks."""
+    def search(self, s: np.ndarray, skip: Callable[[int], bool] = lambda doc: False) -> Iterator[int]:
+        """The sets linked with s, those with most hits first, besides those that ``skip`` marks when their turn comes."""
         need = self.limit.least(len(s))
         at = np.searchsorted(self.tokens, s)
         there = at < len(self.tokens)
         at = at[there][self.tokens[at[there]] == s[there]]
         if len(at) < need or not need:
-            return np.zeros(0, np.int64)
+            return
         sizes = self.starts[at + 1] - self.starts[at]
         at = at[np.argsort(sizes, kind="stable")]
         long = min(need - 1, int(need / (SKIP * np.log2(max(2, sizes.max())) + 1)))
         short = [self.docs[self.starts[i] : self.starts[i + 1]] for i in at[: len(at) - long]]
         found, hits = _merged(short)
         keep = hits >= need - long
-        if skip is not None:
-            keep &= ~skip[found]
         found, hits = found[keep], hits[keep]
-        out = []
         lists = np.sort(at[len(at) - long :]) * max(self.n, 1)
-        for doc, n in zip(found.tolist(), hits.tolist(), strict=True):
-            probe = np.searchsorted(self.keys, lists + doc)
-            common = n + int((self.keys[np.minimum(probe, len(self.keys) - 1)] == lists + doc).sum())
-            if self.limit.linked(common, len(s), int(self.sizes[doc])):
-                out.append(doc)
-        return np.array(out, np.int64)
+        for i in np.argsort(-hits, kind="stable").tolist():
+            doc, n = int(found[i]), int(hits[i])
+            if not skip(doc) and self.limit.linked(n + long, len(s), int(self.sizes[doc])):
+                probe = np.searchsorted(self.keys, lists + doc)
+                common = n + int((self.keys[np.minimum(probe, len(self.keys) - 1)] == lists + doc).sum())
+                if self.limit.linked(common, len(s), int(self.sizes[doc])):
+                    yield doc
 
 
 def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +193,8 @@ def link_sets(sets: list[np.ndarray], limit: Threshold) -> np.ndarray:
             return root
         q = int(open_[0])
         asked[q] = True
-        for r in np.unique(root[lists.search(sets[q], skip=root == root[q])]):
-            a, b = sorted((int(root[q]), int(r)))
+        for doc in lists.search(sets[q], skip=lambda doc: root[doc] == root[q]):
+            a, b = sorted((int(root[q]), int(root[doc])))
             weight[a] += weight[b]
             weight[b] = 0
             root[root == b] = a
@@ -215,7 +213,7 @@ def _search(k: int, limit: Threshold):
             lists = Lists(held, limit)
             for i in range(len(ids)):
                 if roles[i]:
-                    for j in lists.search(sets[i]).tolist():
+                    for j in lists.search(sets[i]):
                         if ids[own[j]] != ids[i]:
                             yield ids[i], ids[own[j]]
 

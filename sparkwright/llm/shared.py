@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,25 +67,62 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, buckets: int
     return keyed.withColumn("_inside", inside).join(starts, [group, "_bucket"]).withColumn(out, F.col("_start") + F.col("_inside") - 1).drop("_bucket", "_inside", "_start")
 
 
+#: Links that a task contracts together.
+CONTRACT = 1_000_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to a forest of the same components: each node of a run of links with the least node it reaches there."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nodes, at = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
+        n = sum(len(a) for a, _ in held)
+        parts, k = np.split(at, np.cumsum([len(x) for pair in held for x in pair])[:-1]), len(held)
+        a, b = np.concatenate(parts[0::2]), np.concatenate(parts[1::2])
+        root = np.arange(len(nodes))
+        while k and n:  # the least root of both ends, then shorter ways to it, until nothing changes
+            low = np.minimum(root[a], root[b])
+            after = root.copy()
+            np.minimum.at(after, root[a], low)
+            np.minimum.at(after, root[b], low)
+            np.minimum.at(after, a, low)
+            np.minimum.at(after, b, low)
+            after = after[after]
+            if np.array_equal(after, root):
+                break
+            root = after
+        out = np.flatnonzero(root != np.arange(len(nodes)))
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[out], pa.int64()), pa.array(nodes[root[out]], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy() for i in (0, 1)))
+        if sum(len(a) for a, _ in held) >= CONTRACT:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: longs); root is the smallest node that links reach.
 
-    Alternates the large-star and small-star steps until no edge changes. Every step is one aggregation and one join;
-    hubs are split by the adaptive join, since the step's minimum is unique on its key.
+    Tasks first contract their own links to forests. Then large-star and small-star steps alternate until every node
+    hangs on a root; a step is one aggregation and one join, whose other side has one row a node.
     """
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
-    seen = None
+    own = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    e = materialise(own.mapInArrow(_contracted, "a long, b long").distinct(), label)
     while True:
+        several = e.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+        chained = several.join(e.select(F.col("b").alias("a")), "a", "left_semi").limit(1)
+        if several.filter("n > 1").limit(1).select("a").unionByName(chained.select("a")).isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = e.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        e = materialise(small, label)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b")
+        e = materialise(small.mapInArrow(_contracted, "a long, b long").distinct(), label)
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -116,3 +116,25 @@ def test_work_tables_can_be_released(spark):
     shared.release(spark)
     with pytest.raises(Exception, match="(?i)exist"):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_components_match_union_find(spark, monkeypatch):
+    import random
+
+    from sparkwright.llm import shared
+
+    r = random.Random(6)
+    pairs = [(i, i + 1) for i in range(1000, 1400)] + [(i, i // 2) for i in range(2, 300)] + [(r.randrange(5000, 9000), r.randrange(5000, 9000)) for _ in range(1500)] + [(7, 7)]
+    root = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in range(600):
+        before = dict(root)
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(shared, "CONTRACT", most)
+        df = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+        assert {x["node"]: x["root"] for x in shared.components(df).collect()} == root
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
