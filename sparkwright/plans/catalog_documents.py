@@ -91,6 +91,18 @@ def child_chunks(spark, d):
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_children"), F.sum(F.length(F.regexp_replace("child", r"\s", ""))).alias("n_chars"), F.max(F.length("child")).alias("longest"))
 
 
+def child_totals(spark, d):
+    """The order-free part of packing: no character besides white space is lost."""
+    return child_chunks(spark, d).select("doc_id", "n_chars")
+
+
+def chunk_json(spark, d):
+    """Children as JSON and back."""
+    c = chunking.children(chunking.sections(table(spark, d, "documents").filter("doc_id % 10 = 0"))).select("doc_id", "child_index", F.col("child").alias("text"))
+    back = c.select(F.to_json(F.struct(*c.columns)).alias("j")).select(F.from_json("j", "doc_id long, child_index int, text string").alias("r")).select("r.*")
+    return back.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
+
+
 def chunk_hierarchy(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("family"))
     return chunking.hierarchy(docs).groupBy("is_parent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum("token_count").alias("tokens"))
@@ -171,7 +183,7 @@ def stall_detect(spark, d):
     return ledger.stalls(turns).groupBy("conv_id").agg(F.count_if("stalled").alias("stalls"), F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
+QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
 
 TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda t: t <> '')"
 BASE = f"""
@@ -207,7 +219,18 @@ RED = "'[REDACTED INJECTION ATTEMPT]', 'gi'"
 VAULT = f"SELECT doc_id, text, lang, source, n_chars, {LEVELS_SQL.format(n='doc_id')} AS clearance, coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)"
 NOTICE = retrieval.NOTICE.replace("'", "''")
 
+PAGE_TEXT = "html"
+for _pattern, _by in (("'(?s)<(script|style)[^>]*>.*?</(script|style)>'", "''"), ("'<h1[^>]*>'", "chr(10) || '# '"), ("'</h1>'", "chr(10)"), ("'<p>'", "chr(10) || chr(10)"), ("'<[^>]*>'", "''")):
+    PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, {_pattern}, {_by}, 'g')"
+
 ORACLE = {
+    "heading_sections": f"""WITH p AS (SELECT page_id AS doc_id, {PAGE_TEXT} AS text FROM pages),
+        s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(^|\\n)(#{{1,4}}\\s+\\S)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10)) <> '') AS parts FROM p),
+        e AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_index, CAST(length(CASE WHEN regexp_matches(parts[i], '^#{{1,4}}\\s') THEN trim(regexp_extract(parts[i], '^#{{1,4}}\\s+([^\\n]*)', 1)) ELSE 'Preamble' END) AS INTEGER) AS title_n,
+        sha256(regexp_replace(parts[i], '\\s', '', 'g')) AS sha FROM e""",
+    "child_totals": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
+    "chunk_json": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 10 = 0 AND regexp_matches(text, '\\S')",
     "bm25_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM br",
     "overlap_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM orr",
     "rrf_fuse": (BASE + FUSE.format(o="orr", b="br")).rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr",

@@ -23,6 +23,16 @@ def frames(stream: DataFrame) -> DataFrame:
     return stream.select("event_type", F.to_json(F.struct("event_id", "user_id", "value", "ts")).alias("data"), "ts")
 
 
+def sse(stream: DataFrame) -> DataFrame:
+    """The text of each event as a server-sent frame."""
+    return frames(stream).select(F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "data", F.lit("\n\n")).alias("frame"))
+
+
+def requests(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON-RPC requests as a stream (request_id: a hash of the line)."""
+    return spark.readStream.text(path).filter(F.trim("value") != "").select(F.xxhash64("value").alias("request_id"), F.col("value").alias("body"))
+
+
 def violations_once(stream: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
     """Each combination of keys once within the watermark."""
     at = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

@@ -222,3 +222,31 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"equipment": [{"tag": "P-1", "type": "pump"}], "connections": [{"from": "a", "to": "b"}, {"source": "c", "target": "d"}]}')
     assert files.companion(spark, f"{tmp_path}/d.json").first()["kind"] == "equipment"
     assert sorted(map(tuple, files.connections(spark, f"{tmp_path}/d.json").collect())) == [("a", "b"), ("c", "d")]
+
+
+def test_graph_of_a_synthetic_drawing(spark):
+    from sparkwright.operators import workbench
+    from sparkwright.sources import synthetic
+
+    nodes, runs, truth = synthetic.drawing(spark, 3)
+    built = workbench.build_graph(nodes, runs).select("drawing_id", "src", "dst")
+    assert sorted(map(tuple, built.collect())) == sorted(map(tuple, truth.collect()))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkwright.__main__ import main
+
+    assert main("verify --P 2.5 --D 323.8 --t_actual 9.52".split()) == 0 and main("verify --P 2.5 --D 323.8 --t_actual 4.5".split()) == 1 and main(["verify", "--D", "1"]) == 1
+    (tmp_path / "log").write_text("10:15:33.000001 IP 127.0.0.1.5000 > 127.0.0.1.8000: Flags [.]\n")
+    assert main(["audit", f"{tmp_path}/log"]) == 0 and "PASS" in capsys.readouterr().out
+
+
+def test_models_and_loops(spark):
+    from sparkwright.operators import workbench
+
+    models = spark.createDataFrame([("a", ["x"], 1, True), ("b", ["x"], 9, False), ("c", ["x", "y"], 5, True)], "model_id string, capabilities array<string>, priority int, healthy boolean")
+    asks = spark.createDataFrame([(1, "x", 0.9), (2, "x", 0.5), (3, "z", 0.9)], "request_id int, capability string, confidence double")
+    assert sorted(map(tuple, workbench.candidates(models, asks).collect())) == [(1, "PROCEED", "c"), (2, "ESCALATE", None), (3, "ESCALATE", None)]
+    turns = [("a", 1, "SCAN", "e"), ("a", 2, "SCAN", "e"), ("b", 1, "VERIFIER", "e"), ("b", 2, "VERIFIER", "e"), ("b", 3, "SUCCESS", None), ("c", 1, "RUNTIME", "e")]
+    got = workbench.correction_loop(spark.createDataFrame(turns, "run string, turn int, kind string, detail string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, "STALLED"), ("b", 3, "SUCCESS"), ("c", 1, "OPEN")]

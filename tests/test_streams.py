@@ -27,6 +27,17 @@ def test_windowed_and_once(spark, tmp_path):
     assert out.agg(F.sum("n")).first()[0] == 60
 
 
+def test_requests_and_frames(spark, tmp_path):
+    from sparkwright.operators import audit
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.txt").write_text('{"method": "ping"}\n{broken\n\n{"method": "what"}\n')
+    got = run(audit.dispatch(streams.requests(spark, f"{tmp_path}/r")), "rpc").collect()
+    assert sorted((r["kind"], r["code"] or 0) for r in got) == [("error", -32700), ("error", -32601), ("result", 0)]
+    write_events(spark, f"{tmp_path}/e", 4)
+    assert all(r["frame"].startswith("event: ") and r["frame"].endswith("\n\n") for r in streams.sse(spark.read.parquet(f"{tmp_path}/e")).collect())
+
+
 def test_leases(spark, tmp_path):
     rows = [("a", "EXECUTING", 0.0, 60.0), ("a", "EXECUTING", 100.0, 60.0), ("a", "EXECUTING", 300.0, 60.0), ("a", "READY", 900.0, 60.0), ("b", "EXECUTING", 0.0, 60.0), ("b", "COMMITTED", 30.0, 60.0)]
     spark.createDataFrame(rows, "unit_id string, status string, now double, ttl double").write.parquet(f"{tmp_path}/u")
