@@ -30,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # alike at every size
     twice = left.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id")
     if twice.isEmpty():
         return left
