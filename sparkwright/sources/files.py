@@ -123,3 +123,45 @@ def memo(meta: dict[str, str], table: DataFrame, cites: Iterable[str]) -> bytes:
         out.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
         out.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
     return held.getvalue()
+
+
+def sockets(spark: SparkSession, tables: Iterable[str] = ("/proc/net/tcp",)) -> DataFrame:
+    """(seq, laddr, raddr, status) of this machine's IPv4 sockets, from the kernel's tables as the driver sees them."""
+    states = {"01": "ESTABLISHED", "0A": "LISTEN", "06": "TIME_WAIT", "08": "CLOSE_WAIT"}
+
+    def address(text: str) -> str:
+        ip, port = text.split(":")
+        return ".".join(str(int(ip[i : i + 2], 16)) for i in (6, 4, 2, 0)) + f":{int(port, 16)}"
+
+    rows = []
+    for table in tables:
+        with open(table) as f:
+            rows += [(len(rows) + i, address(p[1]), address(p[2]) if not p[2].endswith(":0000") else "-", states.get(p[3], p[3])) for i, p in enumerate(line.split() for line in f.readlines()[1:])]
+    return spark.createDataFrame(rows, "seq int, laddr string, raddr string, status string")
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, capabilities, hardware_tiers, priority, vram_min_mb, context_length) of a model registry: a list of flat entries, parsed on the driver."""
+    entries: list[dict] = []
+    for line in "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).splitlines():
+        text = line.split(" #")[0].strip()
+        if text.startswith("- "):
+            entries.append({})
+            text = text[2:].strip()
+        if entries and ":" in text and not text.startswith("#"):
+            k, _, v = text.partition(":")
+            v = v.strip()
+            entries[-1][k.strip()] = [x.strip().strip("\"'") for x in v[1:-1].split(",") if x.strip()] if v.startswith("[") else v.strip("\"'")
+    number = lambda e, k: int(e[k]) if str(e.get(k, "")).isdigit() else None
+    rows = [(e["model_id"], e.get("capabilities", []), e.get("hardware_tiers", []), number(e, "priority"), number(e, "hardware_vram_min_mb"), number(e, "context_length")) for e in entries if "model_id" in e]
+    return spark.createDataFrame(rows, "model_id string, capabilities array<string>, hardware_tiers array<string>, priority int, vram_min_mb int, context_length int")
+
+
+def line_list(spark: SparkSession, path: str) -> DataFrame:
+    """A line list: CSV with a heading and any columns, all read as text."""
+    return spark.read.csv(path, header=True, comment="#")
+
+
+def export(df: DataFrame, path: str) -> None:
+    """An audit export: JSON lines, in parts."""
+    df.write.mode("overwrite").json(path)

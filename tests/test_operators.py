@@ -250,3 +250,16 @@ def test_models_and_loops(spark):
     turns = [("a", 1, "SCAN", "e"), ("a", 2, "SCAN", "e"), ("b", 1, "VERIFIER", "e"), ("b", 2, "VERIFIER", "e"), ("b", 3, "SUCCESS", None), ("c", 1, "RUNTIME", "e")]
     got = workbench.correction_loop(spark.createDataFrame(turns, "run string, turn int, kind string, detail string")).collect()
     assert sorted(map(tuple, got)) == [("a", 2, "STALLED"), ("b", 3, "SUCCESS"), ("c", 1, "OPEN")]
+
+
+def test_registry_sockets_and_export(spark, tmp_path):
+    from sparkwright.sources import files
+
+    (tmp_path / "m.yaml").write_text('version: "1.0"\nmodels:\n  # a comment\n  - model_id: "one"\n    capabilities: ["coding", "tool_use"]\n    priority: 110\n    hardware_vram_min_mb: 800\n    hardware_tiers: ["24gb"]\n\n  - model_id: "two"\n    capabilities: []\n')
+    got = {r["model_id"]: r for r in files.registry(spark, f"{tmp_path}/m.yaml").collect()}
+    assert got["one"]["capabilities"] == ["coding", "tool_use"] and got["one"]["priority"] == 110 and got["two"]["priority"] is None
+    (tmp_path / "tcp").write_text("  sl  local_address rem_address   st\n   0: 0100007F:1F40 00000000:0000 0A x\n   1: 0100007F:A1B2 08080808:01BB 01 x\n")
+    rows = files.sockets(spark, [f"{tmp_path}/tcp"]).collect()
+    assert [(r["laddr"], r["raddr"], r["status"]) for r in rows] == [("127.0.0.1:8000", "-", "LISTEN"), ("127.0.0.1:41394", "8.8.8.8:443", "ESTABLISHED")]
+    files.export(spark.range(3), f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 3
