@@ -4,7 +4,8 @@
 2. Sets of like size are cut by hash range into more parts than two linked sets can differ in, so linked sets agree on two
    whole parts at least (k differing elements touch k parts at most; there are k + 2). Each part gives a signature, and two
    empty parts give one together. Sets that share a signature are in one family; sets of different families cannot link.
-   Equal signatures are first met within each batch, so that a common one reaches its group once a batch and not once a row.
+   Equal signatures are first met within each batch, so that a common one reaches its group once a batch and not once a row;
+   they travel as lists, by buckets of their hash.
 3. Within a family, inverted lists map shingles to sets. A query needs T = 0.9 * its size common elements: the L longest
    lists are set aside, the others are merged on a heap, sets with at least T - L hits there are looked up in the long
    lists by binary search, and those that reach the overlap their two sizes require are linked.
@@ -36,6 +37,8 @@ from sparkwright.llm.shared import components, materialise
 BLOCK = 500_000
 #: Postings up to which the short lists are merged on a heap; larger ones by sorting.
 HEAP = 512
+#: Steps of the threshold that a class of sizes spans; sets near its ends are cut for the next class too.
+WIDE = 3
 #: DivideSkip's weight of a binary search against a step of the merge.
 SKIP = 0.01
 
@@ -64,7 +67,7 @@ class Threshold:
         """The class of sizes that this one is in: its number, first and last size."""
         while not self.known or self.known[-1][1] < size:
             first = self.known[-1][1] + 1 if self.known else 1
-            self.known.append((first, max(first, first * self.den**2 // self.num**2)))
+            self.known.append((first, max(first, first * self.den**WIDE // self.num**WIDE)))
         at = bisect_right(self.known, (size, self.known[-1][1])) - 1
         return at, *self.known[at]
 
@@ -94,41 +97,46 @@ def signatures(s: np.ndarray, limit: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _describe(k: int, limit: Threshold):
+def _describe(k: int) -> Callable:
+    """(doc_id, text) to (doc_id, n, p, q): the size of a set and two sums over it that stand for it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1):
                 sets = shingle_sets(part.column(1), k)
-                marks = [signatures(s, limit) for s in sets]
-                prints = [np.array([x.sum(dtype=np.uint64) for x in (mix(s + U(salt)) for s in sets)], np.uint64).view(np.int64) for salt in (1, 2)]
-                bounds = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in marks]))).astype(np.int32))
-                joined = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(marks).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), joined], ["doc_id", "n", "p", "q", "marks"])
+                prints = [np.array([mix(s + U(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints)], ["doc_id", "n", "p", "q"])
 
     return run
 
 
-def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mark, first id, null) once a batch, and (null, first id, other id) for the others."""
-    for batch in batches:
-        lists = batch.column(1)
-        marks = lists.flatten().to_numpy()
-        ids = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
-        order = np.lexsort((ids, marks))
-        marks, ids = marks[order], ids[order]
-        new = np.ones(len(marks), bool)
-        new[1:] = marks[1:] != marks[:-1]
-        first = ids[new][np.cumsum(new) - 1] if len(ids) else ids
-        other = ~new & (first != ids)
-        pair = np.unique(np.stack((first[other], ids[other])), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(marks[new], pa.int64()), pa.nulls(pair.shape[1], pa.int64())]),
-                pa.array(np.concatenate((ids[new], pair[0])), pa.int64()),
-                pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pair[1], pa.int64())]),
-            ],
-            ["mark", "a", "b"],
-        )
+def _marked(k: int, limit: Threshold, buckets: int) -> Callable:
+    """(doc_id, text) to (bucket, marks, ids): signatures by bucket with the first set of the batch that has each.
+
+    Sets that share a signature within a batch come in bucket -1 as links instead: marks holds the first, ids the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [(np.int64(doc), signatures(s, limit)) for part in parts(batch, 1) for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True)]
+            marks = np.concatenate([m for _, m in told]) if told else np.zeros(0, np.uint64)
+            ids = np.repeat(np.array([d for d, _ in told], np.int64), [len(m) for _, m in told])
+            order = np.lexsort((ids, marks))
+            marks, ids = marks[order], ids[order]
+            new = np.ones(len(marks), bool)
+            new[1:] = marks[1:] != marks[:-1]
+            first = ids[new][np.cumsum(new) - 1] if len(ids) else ids
+            other = ~new & (first != ids)
+            link = np.unique(np.stack((first[other], ids[other])), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+            bucket = (mix(marks[new]) % U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, marks, ids = bucket[order], marks[new][order].view(np.int64), ids[new][order]
+            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+            bounds = pa.array(np.concatenate((start, [len(bucket), len(bucket) + link.shape[1]])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(pair))) for pair in ((marks, link[0]), (ids, link[1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket[start], -1).astype(np.int32)), *lists], ["bucket", "marks", "ids"])
+
+    return run
 
 
 class Lists:
@@ -244,18 +252,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """doc_id, n_shingles and component_id (the smallest id that links reach) of every row."""
     limit = Threshold(num, den)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    told = materialise(rows.mapInArrow(_describe(k, limit), "doc_id long, n long, p long, q long, marks array<long>"), "sets")
+    told = materialise(rows.mapInArrow(_describe(k), "doc_id long, n long, p long, q long"), "sets")
     some = told.filter("n > 0 AND doc_id IS NOT NULL")
     # kept as a table, so that joins with it exchange both sides and large groups of copies can be split
     alike = materialise(some.groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "alike")
-    firsts = some.join(alike.select("n", "p", "q", F.col("first").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi")
-    met = firsts.select("doc_id", "marks").mapInArrow(_first_of_batch, "mark long, a long, b long")
-    marks = met.filter("mark IS NOT NULL").select("mark", "a")
-    # a mark has one row a batch at most, so its group is small beside the input and one exchange serves
-    lowest = marks.withColumn("low", F.min("a").over(Window.partitionBy("mark")))
-    near = lowest.filter("low < a").select(F.col("low").alias("a"), F.col("a").alias("b"))
-    near = near.unionByName(met.filter("b IS NOT NULL").select("a", "b"))
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.filter("doc_id IS NOT NULL").mapInArrow(_marked(k, limit, buckets), "bucket int, marks array<long>, ids array<long>")
+    # lists of marks travel by bucket; a mark has one row a batch at most, so its group is small beside the input
+    marks = met.filter("bucket >= 0").repartition("bucket").select("bucket", F.inline(F.arrays_zip(F.col("marks").alias("mark"), F.col("ids").alias("b"))))
+    near = marks.withColumn("a", F.min("b").over(Window.partitionBy("bucket", "mark"))).filter("a < b").select("a", "b")
+    near = near.unionByName(met.filter("bucket < 0").select(F.inline(F.arrays_zip(F.col("marks").alias("a"), F.col("ids").alias("b")))))
     family = components(near, "families").withColumnsRenamed({"node": "doc_id", "root": "family"})
+    # of equal sets the first is searched for all
+    firsts = some.join(alike.select("n", "p", "q", F.col("first").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi")
     sized = firsts.groupBy("doc_id").agg(F.sum("n").alias("n")).join(family, "doc_id")
     total = sized.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     member = materialise(sized.join(total, "family").select("doc_id", "family", "blocks", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int").alias("block")), "members")
