@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import jaccard, mixing, quality, spm
 from sparkwright.llm.queries import WEIGHTS
-from sparkwright.llm.shared import shared_dir
+from sparkwright.llm.shared import materialise, maybe_among, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with that same doc_id one stays; rows without a doc_id stay.
     """
     found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # alike at every size
+    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    told = maybe_among(docs, "doc_id", gone)  # rows that are surely not among them are not shuffled
+    rest = told.filter("_maybe").join(gone.hint("merge"), "doc_id", "left_anti")
+    left = told.filter("NOT _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
     twice = left.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id")
     if twice.isEmpty():
         return left

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.bytewords import U, mix, parts, shingle_sets
-from sparkwright.llm.shared import components, materialise
+from sparkwright.llm.shared import components, materialise, maybe_among
 
 #: Shingles of a block of a family.
 BLOCK = 500_000
@@ -111,7 +111,7 @@ def _describe(k: int) -> Callable:
 
 
 def _marked(k: int, limit: Threshold, buckets: int) -> Callable:
-    """(doc_id, text) to (bucket, marks, ids): signatures by bucket with the first set of the batch that has each.
+    """(doc_id, text) to (bucket, marks, ids, runs): signatures by bucket with the first set of the batch that has each, in runs of one set.
 
     Sets that share a signature within a batch come in bucket -1 as links instead: marks holds the first, ids the other.
     """
@@ -129,12 +129,17 @@ def _marked(k: int, limit: Threshold, buckets: int) -> Callable:
             other = ~new & (first != ids)
             link = np.unique(np.stack((first[other], ids[other])), axis=1) if other.any() else np.zeros((2, 0), np.int64)
             bucket = (mix(marks[new]) % U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((ids[new], bucket))
             bucket, marks, ids = bucket[order], marks[new][order].view(np.int64), ids[new][order]
+            turn = np.ones(len(bucket), bool)  # a set's run of marks in a bucket is told once, with its length
+            turn[1:] = (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])
+            turn = np.flatnonzero(turn)
             start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-            bounds = pa.array(np.concatenate((start, [len(bucket), len(bucket) + link.shape[1]])).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(pair))) for pair in ((marks, link[0]), (ids, link[1]))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket[start], -1).astype(np.int32)), *lists], ["bucket", "marks", "ids"])
+            n = link.shape[1]
+            bounds = [pa.array(np.concatenate((x, [x_end, x_end + n])).astype(np.int32)) for x, x_end in ((start, len(bucket)), (np.searchsorted(turn, start), len(turn)))]
+            values = (marks, link[0]), (ids[turn], link[1]), (np.diff(np.append(turn, len(bucket))).astype(np.int32), np.ones(n, np.int32))
+            lists = [pa.ListArray.from_arrays(bounds[min(i, 1)], pa.array(np.concatenate(pair))) for i, pair in enumerate(values)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket[start], -1).astype(np.int32)), *lists], ["bucket", "marks", "ids", "runs"])
 
     return run
 
@@ -257,11 +262,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # kept as a table, so that joins with it exchange both sides and large groups of copies can be split
     alike = materialise(some.groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "alike")
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.filter("doc_id IS NOT NULL").mapInArrow(_marked(k, limit, buckets), "bucket int, marks array<long>, ids array<long>")
+    met = rows.filter("doc_id IS NOT NULL").mapInArrow(_marked(k, limit, buckets), "bucket int, marks array<long>, ids array<long>, runs array<int>")
     # lists of marks travel by bucket; a mark has one row a batch at most, so its group is small beside the input
-    marks = met.filter("bucket >= 0").repartition("bucket").select("bucket", F.inline(F.arrays_zip(F.col("marks").alias("mark"), F.col("ids").alias("b"))))
+    marks = met.filter("bucket >= 0").repartition("bucket").select("bucket", F.inline(F.expr("arrays_zip(marks, flatten(transform(arrays_zip(ids, runs), r -> array_repeat(r.ids, r.runs))))")).alias("mark", "b"))
     near = marks.withColumn("a", F.min("b").over(Window.partitionBy("bucket", "mark"))).filter("a < b").select("a", "b")
-    near = near.unionByName(met.filter("bucket < 0").select(F.inline(F.arrays_zip(F.col("marks").alias("a"), F.col("ids").alias("b")))))
+    near = near.unionByName(met.filter("bucket < 0").select(F.inline(F.expr("arrays_zip(marks, ids)")).alias("a", "b")))
     family = components(near, "families").withColumnsRenamed({"node": "doc_id", "root": "family"})
     # of equal sets the first is searched for all
     firsts = some.join(alike.select("n", "p", "q", F.col("first").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi")
@@ -271,7 +276,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     def search(asks: DataFrame, label: str) -> DataFrame:
         """asks: doc_id, family, block, role."""
-        held = rows.join(asks.hint("merge"), "doc_id").select("family", "block", "doc_id", "role", "text")
+        some_rows = maybe_among(rows, "doc_id", asks).filter("_maybe").drop("_maybe")
+        held = some_rows.join(asks.hint("merge"), "doc_id").select("family", "block", "doc_id", "role", "text")
         dealt = held.repartition("family", "block").sortWithinPartitions("family", "block", "role")
         return materialise(dealt.mapInArrow(_search(k, limit), "a long, b long"), label)
 

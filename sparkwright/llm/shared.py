@@ -141,6 +141,20 @@ def shard_stream(index: DataFrame, queries: DataFrame, shards: int, run: Callabl
     return rows.sortWithinPartitions("role").mapInArrow(run, schema)
 
 
+def maybe_among(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """df with a boolean _maybe: false only for rows whose key is not in ``ids`` (column of that name).
+
+    A filter of 2**bits bits (2 MB, whatever the data) is broadcast, so that rows which a join would drop need not be
+    shuffled for it. The more ids there are, the fewer rows it spares; the join after it decides.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    own = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 32768).alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
+    held = df.withColumn("_at", at).withColumn("_part", F.floor(F.col("_at") / 32768)).join(F.broadcast(own), "_part", "left")
+    byte = F.expr("CAST(conv(hex(substring(_bits, CAST((_at % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0
+    return held.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_at", "_part", "_bits")
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -138,3 +138,13 @@ def test_components_match_union_find(spark, monkeypatch):
         df = spark.createDataFrame(pairs, "a long, b long").repartition(5)
         assert {x["node"]: x["root"] for x in shared.components(df).collect()} == root
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filter_never_misses(spark):
+    from sparkwright.llm.shared import maybe_among
+
+    ids = spark.range(0, 4000, 7).withColumnRenamed("id", "k")
+    df = spark.range(4000).withColumnRenamed("id", "k").union(spark.createDataFrame([(None,)], "k long"))
+    got = {r["k"]: r["_maybe"] for r in maybe_among(df, "k", ids, 17).collect()}
+    assert len(got) == 4001 and all(got[k] for k in range(0, 4000, 7)) and sum(got.values()) < 700
+    assert not any(r["_maybe"] for r in maybe_among(df, "k", ids.limit(0)).collect())
