@@ -96,6 +96,13 @@ def child_totals(spark, d):
     return child_chunks(spark, d).select("doc_id", "n_chars")
 
 
+def chunk_json_all(spark, d):
+    """Children of every document as JSON and back."""
+    c = chunking.children(chunking.sections(table(spark, d, "documents"))).select("doc_id", "child_index", F.col("child").alias("text"))
+    back = c.select(F.to_json(F.struct(*c.columns)).alias("j")).select(F.from_json("j", "doc_id long, child_index int, text string").alias("r")).select("r.*")
+    return back.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
+
+
 def chunk_json(spark, d):
     """Children as JSON and back."""
     c = chunking.children(chunking.sections(table(spark, d, "documents").filter("doc_id % 10 = 0"))).select("doc_id", "child_index", F.col("child").alias("text"))
@@ -183,7 +190,7 @@ def stall_detect(spark, d):
     return ledger.stalls(turns).groupBy("conv_id").agg(F.count_if("stalled").alias("stalls"), F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
+QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_json_all, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
 
 TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda t: t <> '')"
 BASE = f"""
@@ -231,6 +238,7 @@ ORACLE = {
         sha256(regexp_replace(parts[i], '\\s', '', 'g')) AS sha FROM e""",
     "child_totals": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
     "chunk_json": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 10 = 0 AND regexp_matches(text, '\\S')",
+    "chunk_json_all": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
     "bm25_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM br",
     "overlap_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM orr",
     "rrf_fuse": (BASE + FUSE.format(o="orr", b="br")).rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr",

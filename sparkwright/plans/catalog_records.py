@@ -121,6 +121,11 @@ def calc_steps(spark, d):
     return compliance.steps(pipes(spark, d).filter("l_linenumber = 1"), 9).select("l_orderkey", "step_number", "formula", "result")
 
 
+def calc_steps_all(spark, d):
+    """The steps of every line."""
+    return compliance.steps(pipes(spark, d), 9).select("l_orderkey", "l_linenumber", "step_number", "formula", "result")
+
+
 def stress_tool(spark, d):
     s = compliance.stress(pipes(spark, d).withColumn("t_actual", F.when(F.col("l_orderkey") % 3 > 0, F.col("t_actual"))))
     return s.select("l_orderkey", "l_linenumber", F.round("t_used", 6).alias("t_used"), F.round("hoop", 4).alias("hoop"), F.round("stress_ratio", 6).alias("stress_ratio"), "status")
@@ -196,7 +201,7 @@ def ast_scan(spark, d):
     return audit.scan_scripts(spark.createDataFrame(list(enumerate(codes)), "script_id int, code string"))
 
 
-QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, fan_out, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
+QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, calc_steps_all, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, fan_out, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
 
 STATE = "list_extract(['PROPOSED','READY','EXECUTING','EXECUTED','VERIFIED','COMMITTED','FAILED','BLOCKED','WAITING_HUMAN','INVALIDATED'], CAST(({n}) % 10 + 1 AS INTEGER))"
 CHAIN = """WITH g AS (SELECT user_id AS mission, list(props ORDER BY event_id) AS ps, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id),
@@ -238,6 +243,8 @@ ORACLE = {
     "batch_summary": PIPES + " SELECT E, count(*) FILTER (t_actual >= t_min) AS sat, count(*) FILTER (t_actual < t_min) AS unsat, round(min(t_actual - t_min), 6) AS least_margin, round(max((t_actual - t_min) / t_min * 100), 4) AS most_percent FROM m GROUP BY E",
     "calc_steps": PIPES + """, s AS (SELECT l_orderkey, unnest([1, 2, 3, 4, 5]) AS step_number, unnest(['P * D', '2 * (S*E + P*Y)', '(P*D) / Denom', 't + c', 't_actual - tm']) AS formula, unnest([P * D, 2 * (S * E + P * Y), tp, tp + c, t_actual - tp - c]) AS v FROM m WHERE l_linenumber = 1)
         SELECT l_orderkey, step_number, formula, round(v, 9) + 0.0::DOUBLE AS result FROM s""",
+    "calc_steps_all": PIPES + """, s AS (SELECT l_orderkey, l_linenumber, unnest([1, 2, 3, 4, 5]) AS step_number, unnest(['P * D', '2 * (S*E + P*Y)', '(P*D) / Denom', 't + c', 't_actual - tm']) AS formula, unnest([P * D, 2 * (S * E + P * Y), tp, tp + c, t_actual - tp - c]) AS v FROM m)
+        SELECT l_orderkey, l_linenumber, step_number, formula, round(v, 9) + 0.0::DOUBLE AS result FROM s""",
     "stress_tool": PIPES + """, s AS (SELECT *, CASE WHEN l_orderkey % 3 > 0 THEN t_actual ELSE 0.065::DOUBLE * D END AS t FROM m)
         SELECT l_orderkey, l_linenumber, round(t, 6) AS t_used, round(P * D / (2 * t), 4) AS hoop, round(P * D / (2 * t) / (S * E), 6) AS stress_ratio, CASE WHEN t >= t_min THEN 'PASS' ELSE 'FAIL' END AS status FROM s""",
     "vessel_verdict": WALL + """, v AS (SELECT *, CASE WHEN r <= 0 THEN 'corrosion_rate' WHEN t_actual < t_min THEN 't_actual < t_min' END AS violation FROM w)
