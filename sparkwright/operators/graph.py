@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their history: in the folder that all executors share, or cached where none is set (tests)."""
+    """The same rows without their history: in the folder that all executors share, or with the executors where none is set (tests)."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return df.checkpoint()
-    out = df.cache()
-    out.count()
-    return out
+    return df.localCheckpoint()
+
+
+def rounds(most: int | None) -> Iterator[int]:
+    """1, 2, 3 and so on, up to ``most`` where it is given."""
+    return count(1) if most is None else iter(range(1, most + 1))
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def gathered(found: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """What the steps have found; every sixteenth step makes one table of it, so that long chains keep a short plan."""
+    return found if step % 16 else cut(found.repartition(*keys))
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, depth) of all nodes that directed edges reach from each start, itself left out unless a cycle returns to it.
 
-    A frontier loop: each step joins the nodes found last with the edges and drops what is known.
+    A frontier loop: each step joins the nodes found last with the edges and drops what is known, until nothing is new (or ``most`` steps).
     """
     e = edges.select("src", "dst").distinct()
     front = cut(starts.select(F.col("node").alias("start"), "node").distinct().join(e, F.col("node") == e["src"]).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
     seen = front
-    for depth in range(2, most + 1):
-        front = cut(front.join(e, F.col("node") == e["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    for step in rounds(None if most is None else most - 1):
+        front = cut(front.join(e, F.col("node") == e["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(step + 1)))
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+            break
+        seen = gathered(seen.unionByName(front), ["start", "node"], step)
     return seen
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, most)
 
 
@@ -42,30 +53,30 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 32) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(source, target, hops, path) by hops; of equally short paths the one that is least as a list. Pairs without a path are left out."""
     e = edges.select("src", "dst").distinct()
     wanted = pairs.select("source", "target").distinct()
     front = cut(wanted.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path")))
-    seen, found = front.select("source", "node"), front
-    for _ in range(most):
+    found = front
+    for n in rounds(most):
         step = front.join(e, F.col("node") == e["src"]).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti"))
+        front = cut(step.groupBy("source", "node").agg(F.min("path").alias("path")).join(found.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen, found = seen.unionByName(front.select("source", "node")), found.unionByName(front)
+        found = gathered(found.unionByName(front), ["source", "node"], n)
     return wanted.join(found.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", (F.size("path") - 1).alias("hops"), "path")
 
 
-def simple_paths(edges: DataFrame, source, target, most: int = 12) -> DataFrame:
-    """(path) of all simple paths of at most ``most`` edges between two nodes."""
+def simple_paths(edges: DataFrame, source, target, most: int | None = None) -> DataFrame:
+    """(path) of all simple paths between two nodes, of at most ``most`` edges where it is given."""
     e = edges.select("src", "dst").distinct()
     front = e.filter(F.col("src") == source).select(F.array("src", "dst").alias("path"), F.col("dst").alias("node"))
     out = None
-    for _ in range(most):
+    for n in rounds(most):
         front = cut(front)
         hit = front.filter(F.col("node") == target).select("path")
-        out = hit if out is None else out.unionByName(hit)
+        out = hit if out is None else gathered(out.unionByName(hit), ["path"], n)
         front = front.filter(F.col("node") != target)
         if front.isEmpty():
             break
