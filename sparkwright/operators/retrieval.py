@@ -51,11 +51,12 @@ def substring_tf(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
     A query's words meet the corpus through a join on nothing but the condition itself; use it for a few queries.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("q"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("q")).groupBy("query_id", "q").agg(F.count(F.lit(1)).alias("times"))
     low = corpus.select("chunk_id", F.lower("text").alias("low"))
-    hits = low.join(asked, F.col("low").contains(F.col("q")))
+    hits = low.join(asked.select("q").distinct(), F.col("low").contains(F.col("q")))  # a word of many queries is looked for once
     n = (F.length("low") - F.length(F.replace("low", "q"))) / F.length("q")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(n).cast("double").alias("score")).filter("score > 0")
+    counted = hits.select("chunk_id", "q", n.alias("n")).join(asked, "q")
+    return counted.groupBy("query_id", "chunk_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score")).filter("score > 0")
 
 
 def term_overlap(corpus: DataFrame, queries: DataFrame) -> DataFrame:

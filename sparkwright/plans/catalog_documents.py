@@ -57,6 +57,11 @@ def substring_topn(spark, d):
     return retrieval.best(retrieval.substring_tf(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.lower("n_name").alias("text")), q.select("query_id", F.lit("an ia").alias("query"))), 5).select("query_id", "chunk_id", "score", "rank")
 
 
+def substring_docs(spark, d):
+    """All words of every benchmark passage, as substrings of all documents."""
+    return retrieval.best(retrieval.substring_tf(corpus(spark, d), asked(spark, d)), 25).select("query_id", "chunk_id", "score", "rank")
+
+
 def grounding_gate(spark, d):
     return retrieval.grounding(asked(spark, d), hybrid_retrieve(spark, d))
 
@@ -190,7 +195,7 @@ def stall_detect(spark, d):
     return ledger.stalls(turns).groupBy("conv_id").agg(F.count_if("stalled").alias("stalls"), F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_json_all, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
+QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, substring_docs, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_json_all, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
 
 TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda t: t <> '')"
 BASE = f"""
@@ -246,6 +251,9 @@ ORACLE = {
     "secured_retrieve": BASE.replace("br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE score > 0)", f"sec AS ({SECURED}), mine AS (SELECT doc_id AS chunk_id FROM sec WHERE tenant IN ('src1', 'global') AND clearance <> 'TOP_SECRET'), br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE score > 0 AND chunk_id IN (SELECT chunk_id FROM mine))").replace("AS rank FROM o)", "AS rank FROM o WHERE chunk_id IN (SELECT chunk_id FROM mine))") + FUSE.format(o="orr", b="br") + RERANK + " SELECT * FROM h",
     "substring_topn": """WITH s AS (SELECT item_id AS query_id, CAST(n_nationkey AS BIGINT) AS chunk_id, CAST((length(n_name) - length(replace(lower(n_name), 'an', ''))) / 2 + (length(n_name) - length(replace(lower(n_name), 'ia', ''))) / 2 AS DOUBLE) AS score FROM benchmark, nation)
         SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""",
+    "substring_docs": f"""WITH w AS (SELECT item_id AS query_id, unnest({TOK("text")}) AS q FROM benchmark), d AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents),
+        s AS (SELECT query_id, chunk_id, CAST(sum((length(low) - length(replace(low, q, ''))) / length(q)) AS DOUBLE) AS score FROM w JOIN d ON contains(low, q) GROUP BY query_id, chunk_id)
+        SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 25""",
     "grounding_gate": HYBRID + """, g AS (SELECT query_id, round(0.4 * avg(score) + 0.6 * max(score), 3) AS g FROM h GROUP BY query_id), j AS (SELECT q.query_id, coalesce(g, 0.0) AS grounding FROM q LEFT JOIN g USING (query_id))
         SELECT query_id, grounding, CASE WHEN grounding < 0.45 THEN 'LOW_REFUSAL' WHEN grounding >= 0.75 THEN 'HIGH' ELSE 'MODERATE' END AS tier, grounding < 0.45 AS refuse FROM j""",
     "temporal_warnings": HYBRID + """ SELECT query_id, 'Retrieved source ''doc ' || source || ''' (Version ' || CAST(doc_id % 3 AS VARCHAR) || ', Effective: N/A) is superseded by a newer edition' AS warning, min(rank) AS first_rank

@@ -129,6 +129,12 @@ def simple_paths(spark, d):
     return graph.simple_paths(spark.createDataFrame(rows, "src long, dst long"), 1, 5).select(F.array_join("path", ">").alias("path"))
 
 
+def simple_paths_tree(spark, d):
+    """From the first part to the last."""
+    last = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    return graph.simple_paths(tree(spark, d), 1, last).select(F.array_join("path", ">").alias("path"))
+
+
 def predecessors(spark, d):
     return graph.predecessors(tree(spark, d), 7).select("src")
 
@@ -157,7 +163,7 @@ def cosine_neighbours(spark, d):
     return v.select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("square"))
 
 
-QUERIES = {f.__name__: f for f in (tag_clean, tag_repair, tag_parse, pipe_attrs, tile_grid, bbox_map, iou_pairs, snap_nearest, project_segment, nms, cluster, stitch, mosaic_linear, colour_codes, downstream, ancestors, shortest_path, simple_paths, predecessors, crossing_number, thinning, cosine_neighbours)}
+QUERIES = {f.__name__: f for f in (tag_clean, tag_repair, tag_parse, pipe_attrs, tile_grid, bbox_map, iou_pairs, snap_nearest, project_segment, nms, cluster, stitch, mosaic_linear, colour_codes, downstream, ancestors, shortest_path, simple_paths, simple_paths_tree, predecessors, crossing_number, thinning, cosine_neighbours)}
 
 N = "CAST(100 + p_partkey % 900 AS VARCHAR)"
 I90 = "lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0')"
@@ -205,6 +211,7 @@ ORACLE = {
     "ancestors": TREE + ", r AS (SELECT t.dst AS start, t.src AS node, 1 AS depth FROM t WHERE t.dst % 50 = 0 UNION ALL SELECT r.start, t.src, r.depth + 1 FROM r JOIN t ON t.dst = r.node) SELECT start, node, depth FROM r",
     "shortest_path": TREE + ", r AS (SELECT t.dst AS target, t.src AS node, 1 AS hops, CAST(t.src AS VARCHAR) || '>' || CAST(t.dst AS VARCHAR) AS path FROM t WHERE t.dst % 40 = 0 UNION ALL SELECT r.target, t.src, r.hops + 1, CAST(t.src AS VARCHAR) || '>' || r.path FROM r JOIN t ON t.dst = r.node) SELECT CAST(1 AS BIGINT) AS source, target, hops, path FROM r WHERE node = 1",
     "simple_paths": "SELECT unnest(['1>3>5', '1>2>3>5', '1>3>4>5', '1>2>4>5', '1>2>3>4>5']) AS path",
+    "simple_paths_tree": TREE + ", r AS (SELECT t.src AS node, CAST(t.src AS VARCHAR) || '>' || CAST(t.dst AS VARCHAR) AS path FROM t WHERE t.dst = (SELECT max(p_partkey) FROM part) UNION ALL SELECT t.src, CAST(t.src AS VARCHAR) || '>' || r.path FROM r JOIN t ON t.dst = r.node) SELECT path FROM r WHERE node = 1",
     "predecessors": "SELECT CAST(3 AS BIGINT) AS src",
     "crossing_number": """WITH e AS (SELECT DISTINCT CAST(vec_id % 12 AS INTEGER) AS x, CAST(vec_id * 7 % 11 AS INTEGER) AS y, CAST(vec_id % 3 AS INTEGER) AS img_id FROM embeddings WHERE ((vec_id % 12) * (vec_id * 7 % 11)) % 4 <> 1),
         o AS (SELECT * FROM (VALUES (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1)) v(i, dx, dy)),
