@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.operators import graph
+
 #: The allowed changes of a work unit's status.
 TRANSITIONS: Mapping[str, tuple[str, ...]] = {
     "PROPOSED": ("READY", "INVALIDATED"),
@@ -90,6 +92,14 @@ def block_downstream(units: DataFrame, dependents: DataFrame) -> DataFrame:
     return hit.withColumn("status", F.when(F.col("hit") & F.col("status").isin("READY", "PROPOSED"), "BLOCKED").otherwise(F.col("status"))).drop("hit")
 
 
+def sweep(units: DataFrame, dependencies: DataFrame, now: Column) -> DataFrame:
+    """All units after a sweep: expired ones are reclaimed, then units that depend (id, needs), directly or not, on one that now waits for a human are blocked if ready or proposed."""
+    back = reclaim(units, now)
+    after = units.join(back.select("id"), "id", "left_anti").unionByName(back)
+    edges, struck = dependencies.select(F.col("needs").alias("src"), F.col("id").alias("dst")), back.filter("status = 'WAITING_HUMAN'").select(F.col("id").alias("node"))
+    return block_downstream(after, graph.reach(edges, struck).select(F.col("node").alias("id")))
+
+
 def override(requests: DataFrame) -> DataFrame:
     """Adds accepted and the parent's status after it: APPROVE, RETRY and REJECT with a reason of 20 characters, an operator and a signature."""
     filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0

@@ -72,24 +72,42 @@ LEASE_STATE = "status string, lease_until double, retry_count int"
 
 
 def lease_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one unit: status, lease and strikes. Input: unit_id, status, now, ttl (seconds); an executing unit whose lease is past is reclaimed."""
+    """State of one unit: status, lease and strikes. Input: unit_id, status, now, ttl (seconds), at; an executing unit whose lease is past is reclaimed.
+
+    Rows with ``at`` only move the clock. The lease is past when a later row of the unit or the clock of all units says so.
+    """
     status, until, retries = state.get if state.exists else ("PROPOSED", 0.0, 0)
     out = []
+
+    def reclaim() -> None:
+        nonlocal status, until, retries
+        retries += 1
+        status, until = "WAITING_HUMAN" if retries >= 3 else "READY", 0.0
+        out.append((key[0], status, retries))
+
     for b in batches:
-        for r in b.sort_values("now").itertuples(index=False):
+        for r in b[b["at"].isna()].sort_values("now").itertuples(index=False):
             if status == "EXECUTING" and r.now > until:
-                retries += 1
-                status = "WAITING_HUMAN" if retries >= 3 else "READY"
-                out.append((key[0], status, retries))
+                reclaim()
             if status != "WAITING_HUMAN":
                 status, until = r.status, r.now + r.ttl if r.status == "EXECUTING" else 0.0
+    clock = state.getCurrentWatermarkMs()
+    if status == "EXECUTING" and clock > until * 1000:
+        reclaim()
     state.update((status, until, retries))
+    if status == "EXECUTING":
+        state.setTimeoutTimestamp(max(int(until * 1000), clock, 1))
     yield pd.DataFrame(out, columns=["unit_id", "action", "retry_count"])
 
 
-def lease_timers(stream: DataFrame) -> DataFrame:
-    """Reclaimed leases of a stream of unit changes."""
-    return stream.groupBy("unit_id").applyInPandasWithState(lease_step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.NoTimeout)
+def lease_timers(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Reclaimed leases of a stream of unit changes, also of units that send nothing more: the clock is the latest ``now`` of any unit, less ``delay``.
+
+    Each row comes twice: as itself, without an event time, so that Spark never drops it as late, and as a tick of the clock.
+    """
+    ticks = F.explode(F.array(F.lit(None).cast("timestamp"), F.timestamp_seconds("now"))).alias("at")
+    rows = stream.select("unit_id", "status", "now", "ttl", ticks).withWatermark("at", delay)
+    return rows.groupBy("unit_id").applyInPandasWithState(lease_step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_ledger(stream: DataFrame, path: str, checkpoint: str):
