@@ -172,11 +172,22 @@ def ring_fifo(spark, d):
     return streams.ring(table(spark, d, "events"), "user_id", "event_id", "props", 5, 8).select("user_id", "seq", F.hex("payload").alias("payload"))
 
 
+def ring_fifo_full(spark, d):
+    """Rings of the operator's own size."""
+    return streams.ring(table(spark, d, "events"), "user_id", "event_id", "props").select("user_id", "seq", F.hex("payload").alias("payload"))
+
+
 def fan_out(spark, d):
     subs = spark.createDataFrame([("a", "click"), ("a", "view"), ("b", "purchase"), ("c", "nothing")], "subscriber string, event_type string")
     return streams.fan_out(table(spark, d, "events"), subs, 50).select("subscriber", "event_id")
 
 
+def fan_out_full(spark, d):
+    """Queues of the operator's own length."""
+    subs = spark.createDataFrame([("a", "click"), ("a", "view"), ("b", "purchase"), ("c", "nothing")], "subscriber string, event_type string")
+    return streams.fan_out(table(spark, d, "events"), subs).select("subscriber", "event_id")
+
+
 def jsonrpc_dispatch(spark, d):
     bodies = ('{"method": "ping"}', '{"method": "tools/call", "params": {"name": "asme_stress_calc"}}', '{"method": "tools/call", "params": {}}', '{"method": "tools/call", "params": {"name": "nope"}}', "{broken", '{"method": "other"}', '{"id": 1}')
     body = F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("event_id") % len(bodies) + 1).cast("int"))
@@ -201,7 +212,7 @@ def ast_scan(spark, d):
     return audit.scan_scripts(spark.createDataFrame(list(enumerate(codes)), "script_id int, code string"))
 
 
-QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, calc_steps_all, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, fan_out, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
+QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, calc_steps_all, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, ring_fifo_full, fan_out, fan_out_full, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
 
 STATE = "list_extract(['PROPOSED','READY','EXECUTING','EXECUTED','VERIFIED','COMMITTED','FAILED','BLOCKED','WAITING_HUMAN','INVALIDATED'], CAST(({n}) % 10 + 1 AS INTEGER))"
 CHAIN = """WITH g AS (SELECT user_id AS mission, list(props ORDER BY event_id) AS ps, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id),
@@ -260,6 +271,9 @@ ORACLE = {
     "ring_fifo": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props FROM events) SELECT user_id, CAST(seq AS INTEGER) AS seq, hex(substring(props, 1, 8)) AS payload FROM r WHERE seq < 5",
     "fan_out": """WITH s AS (SELECT * FROM (VALUES ('a', 'click'), ('a', 'view'), ('b', 'purchase'), ('c', 'nothing')) v(subscriber, event_type)),
         r AS (SELECT subscriber, event_id, row_number() OVER (PARTITION BY subscriber ORDER BY event_id) AS n FROM events JOIN s USING (event_type)) SELECT subscriber, event_id FROM r WHERE n <= 50""",
+    "ring_fifo_full": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props FROM events) SELECT user_id, CAST(seq AS INTEGER) AS seq, hex(substring(props, 1, 4096)) AS payload FROM r WHERE seq < 1024",
+    "fan_out_full": """WITH s AS (SELECT * FROM (VALUES ('a', 'click'), ('a', 'view'), ('b', 'purchase'), ('c', 'nothing')) v(subscriber, event_type)),
+        r AS (SELECT subscriber, event_id, row_number() OVER (PARTITION BY subscriber ORDER BY event_id) AS n FROM events JOIN s USING (event_type)) SELECT subscriber, event_id FROM r WHERE n <= 128""",
     "jsonrpc_dispatch": "SELECT event_id AS request_id, list_extract(['result','result','error','tool_error','error','error','error'], CAST(event_id % 7 + 1 AS INTEGER)) AS kind, CAST(list_extract([NULL, NULL, -32602, NULL, -32700, -32601, -32601], CAST(event_id % 7 + 1 AS INTEGER)) AS INTEGER) AS code FROM events",
     "vram_telemetry": "SELECT 9.4::DOUBLE AS total_gb, 14.6::DOUBLE AS reserve_gb, true AS within, 'vision is over its limit' AS errors",
     "sheet_rows": "SELECT p_partkey, substring('Part -1-- a-b-' || p_name, 1, 31) AS sheet, CASE p_partkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '#NUM!' ELSE CAST(p_size AS VARCHAR) || '.0000' END AS cell FROM part",

@@ -16,3 +16,10 @@ def test_no_subset(spark):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert catalog.QUERIES["calc_steps_all"](spark, str(DATA)).count() == 5 * lines
     assert catalog.QUERIES["corrosion_life_all"](spark, str(DATA)).count() == lines
+
+
+def test_own_bounds(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    got = catalog.QUERIES["ring_fifo_full"](spark, str(DATA)).collect()
+    assert len(got) == events.count() and {bytes.fromhex(r["payload"]).decode() for r in got} == {r["props"] for r in events.select("props").collect()}
+    assert catalog.QUERIES["fan_out_full"](spark, str(DATA)).groupBy("subscriber").count().selectExpr("max(`count`)").first()[0] == 128
