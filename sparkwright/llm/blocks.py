@@ -6,7 +6,7 @@ hashed words and a few figures. A bidirectional LSTM in numpy reads the whole se
 in the context of all others, and the blocks it marks as content are joined in page order. ``train_blocks.py`` makes the
 weights from pages that it writes itself.
 
-Defined cases: null and empty pages give an empty text; text without markup is one block; unclosed and stray tags are
+Defined cases: null and empty pages give an empty text; text without markup is one block; unclosed (also a head's) and stray tags are
 tolerated; nothing is dropped or cut for length; repeated rows stay; an empty table gives an empty table; other columns
 are not read.
 """
@@ -32,6 +32,7 @@ from sparkwright.llm.bytewords import U, buffers, parts, words
 UNSEEN = frozenset("script style noscript template head svg math iframe object canvas select datalist textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -70,6 +71,8 @@ def cut(page: str) -> list[tuple[tuple, str, int]]:
 
     def text(a: int, b: int) -> None:
         nonlocal path, linked
+        if stack and stack[-1][0] == "head" and b > a and not page[a:b].isspace():
+            leave(len(stack) - 1)  # text ends the head
         if b > a and not unseen:
             piece = page[a:b]
             if path is None and not piece.isspace():
@@ -105,6 +108,8 @@ def cut(page: str) -> list[tuple[tuple, str, int]]:
                     leave(i)
                     break
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            leave(len(stack) - 1)  # as does what is not allowed in it; </head> is optional
         if name in VOID:
             continue
         if name not in INLINE and stack:
