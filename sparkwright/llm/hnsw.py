@@ -178,6 +178,11 @@ class Graph:
             todo, beam = np.array(again, np.int64), beam * 2
         return out
 
+    def scanned(self, q: np.ndarray, least: float) -> list[np.ndarray]:
+        """The places by comparing every vector, in blocks."""
+        step = max(1, 8_000_000 // max(self.sizes[0], 1))
+        return [np.flatnonzero(row) for at in range(0, len(q), step) for row in q[at : at + step] @ self.exact.T >= least]
+
     def audited(self, q: np.ndarray, least: float, recall: float) -> list[np.ndarray]:
         beam = BEAM
         while True:
@@ -185,8 +190,10 @@ class Graph:
             linked = np.array([len(f) > 1 for f in found])
             some = np.concatenate((np.flatnonzero(linked)[:: max(1, int(linked.sum()) // (AUDIT // 2))], np.flatnonzero(~linked)[:: max(1, int((~linked).sum()) // (AUDIT // 2))]))
             true = (q[some] @ self.exact.T >= least).sum()
-            if sum(len(found[i]) for i in some) >= recall * true or beam >= self.sizes[0]:
+            if sum(len(found[i]) for i in some) >= recall * true:
                 return found
+            if beam >= self.sizes[0]:
+                return self.scanned(q, least)  # no beam reaches nodes without links to them
             beam *= 2
 
 
