@@ -36,20 +36,36 @@ def _own_dir() -> str:
 _written: list[str] = []
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the work tables of this session; frames that read them can't be used any more."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
+
 
+def materialise(df: DataFrame, label: str, after: list[str] | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors do not lose it.
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors do not lose it."""
+    ``after`` takes the new table's path; those in it before are deleted, as tables that only this one was made from.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = work_path(spark, label)
     df.write.parquet(path)
+    while after:
+        _written.remove(after[-1])
+        _delete(spark, after.pop())
+    if after is not None:
+        after.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -111,7 +127,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     hangs on a root; a step is one aggregation and one join, whose other side has one row a node.
     """
     own = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    e = materialise(own.mapInArrow(_contracted, "a long, b long").distinct(), label)
+    rounds: list[str] = []
+    e = materialise(own.mapInArrow(_contracted, "a long, b long").distinct(), label, rounds)
     while True:
         several = e.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
         chained = several.join(e.select(F.col("b").alias("a")), "a", "left_semi").limit(1)
@@ -122,7 +139,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = e.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b")
-        e = materialise(small.mapInArrow(_contracted, "a long, b long").distinct(), label)
+        e = materialise(small.mapInArrow(_contracted, "a long, b long").distinct(), label, rounds)
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -142,17 +159,19 @@ def shard_stream(index: DataFrame, queries: DataFrame, shards: int, run: Callabl
 
 
 def maybe_among(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """df with a boolean _maybe: false only for rows whose key is not in ``ids`` (column of that name).
+    """The rows of df as a struct ``row``, and a boolean ``maybe``: false only where the key is not in ``ids`` (column of that name).
 
     A filter of 2**bits bits (2 MB, whatever the data) is broadcast, so that rows which a join would drop need not be
-    shuffled for it. The more ids there are, the fewer rows it spares; the join after it decides.
+    shuffled for it. The more ids there are, the fewer rows it spares; the join after it decides. Being in a struct, the
+    columns of df may have any names.
     """
     at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    own = ids.select(at.alias("_at")).groupBy(F.floor(F.col("_at") / 32768).alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
-    held = df.withColumn("_at", at).withColumn("_part", F.floor(F.col("_at") / 32768)).join(F.broadcast(own), "_part", "left")
-    byte = F.expr("CAST(conv(hex(substring(_bits, CAST((_at % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0
-    return held.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_at", "_part", "_bits")
+    own = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    rows = df.select(F.struct("*").alias("row"), at.alias("at"))
+    held = rows.withColumn("part", F.floor(F.col("at") / 32768)).join(F.broadcast(own), "part", "left")
+    byte = F.expr("CAST(conv(hex(substring(bits, CAST((at % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(at % 8 AS INT))")) != 0
+    return held.select("row", F.coalesce(bit, F.lit(False)).alias("maybe"))
 
 
 def utf8_size(text: Column) -> Column:

@@ -100,20 +100,53 @@ def test_link_sets_is_exact_on_random_sets():
             sets.append(np.unique(s))
         pairs = [(a, b) for a, b in combinations(range(40), 2) if limit.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
         root = roots(range(40), pairs)
-        assert jaccard.link_sets(sets, limit).tolist() == [root[i] for i in range(40)]
+        assert jaccard.link_sets(sets, limit) == [root[i] for i in range(40)]
 
 
-def test_linked_sets_share_a_signature():
+def test_linked_sets_are_tied():
+    import pyarrow as pa
+
     r = np.random.default_rng(1)
     for num in (80, 90):
         limit = jaccard.Threshold(num, 100)
-        for _ in range(400):
-            n = int(r.integers(2, 120))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            drop, add = r.integers(0, n // 5 + 1), r.integers(0, n // 5 + 1)
-            b = np.unique(np.concatenate((a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64))))
-            if len(b) and limit.linked(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
-                assert np.intersect1d(jaccard.signatures(a, limit), jaccard.signatures(b, limit)).size
+        for _ in range(60):
+            base = np.unique(r.integers(0, 1 << 63, int(r.integers(2, 120))).astype(np.uint64) * np.uint64(2))
+            sets = []
+            for _ in range(12):
+                keep = r.random(len(base)) > r.random() * 0.25
+                s = np.unique(np.concatenate((base[keep], r.integers(0, 1 << 63, r.integers(0, len(base) // 6 + 1)).astype(np.uint64))))
+                sets.append(s if len(s) else base)
+            often = np.unique(r.choice(base, len(base) // 2 + 1))
+            often = often, r.integers(1, 9, len(often)).astype(np.uint64)
+            rows = [(int(t.view(np.int64)), i, len(s), int(x)) for i, s in enumerate(sets) for t, x in zip(*jaccard.short_lists(s, limit, often), strict=True)]
+            rows.sort(key=lambda row: (row[0], row[2]))
+            cut = int(r.integers(1, len(rows)))
+            batches = [pa.RecordBatch.from_pylist([dict(zip(("token", "node", "n", "reach"), row, strict=True)) for row in some]) for some in (rows[:cut], rows[cut:]) if some]
+            kept = [t for batch in jaccard._shared(iter(batches)) for t in batch.to_pylist()]
+            meet = {row[:2] for row in rows for other in rows if row[0] == other[0] and row[1] != other[1] and row[2] <= other[3] and other[2] <= row[3]}
+            assert meet <= {(t["token"], t["node"]) for t in kept} <= {row[:2] for row in rows} and len(kept) <= len(rows)
+            ties = [(t["node"], t["partner"]) for t in kept if t["partner"] is not None]
+            assert len(ties) < len(rows)
+            root = roots(range(12), ties)
+            for a, b in combinations(range(12), 2):
+                if limit.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])) and not np.array_equal(sets[a], sets[b]):
+                    assert root[a] == root[b]
+                    met = {t["token"]: t for t in kept if t["node"] == a}
+                    hits = sum(t["node"] == b and t["token"] in met and t["n"] <= met[t["token"]]["reach"] and met[t["token"]]["n"] <= t["reach"] for t in kept)
+                    assert hits >= min(jaccard.HITS, max(limit.least(len(sets[a])), limit.least(len(sets[b]))))
+
+
+def test_unlike_texts_do_not_ask(spark, monkeypatch):
+    r = random.Random(7)
+    line = "the same long line of words that every text holds more than once or twice over and over again"
+    words = [f"v{i}" for i in range(3000)]
+    rows = [(i, f"{line} {' '.join(r.choices(words, k=r.randint(4, 60)))} {line} x{i}") for i in range(300)]
+    seen = {}
+    kept = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, label, *more: seen.setdefault(label, kept(df, label, *more)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert all(x["component_id"] == x["doc_id"] for x in got)
+    assert seen["asks"].count() <= 150 and seen["links-asked"].count() <= 150
 
 
 def test_shingles_of_words_over_step_bounds(monkeypatch):
@@ -167,3 +200,29 @@ def test_top_k_matches_brute_force(spark):
     assert got == want
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert balltree.top_k(none, none).count() == 0
+
+
+def test_top_k_of_large_scores_and_repeated_queries(spark):
+    r = np.random.default_rng(3)
+    for size in (1 << 25, 1 << 29):  # scores near 2**52, and near 2**60 with products that doubles cannot hold
+        x = r.integers(-size, size, (700, 4)).astype(float)
+        x[100:200] = x[:100]
+        rows = [(int(i * 5), v.tolist(), 1, "id", "v") for i, v in enumerate(x)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, id string, v string")
+        asked = frame.filter("vec_id % 100 = 0")
+        got = sorted(tuple(g) for g in balltree.top_k(frame, asked.unionByName(asked), 20, shards=2).collect())
+        want = []
+        for i, v, *_ in rows:
+            if i % 100 == 0:
+                scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), j) for j, w, *_ in rows if j != i)
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:20])]
+        assert got == want
+
+
+def test_top_k_in_one_large_shard():
+    n = 200_000
+    x = np.full((n, 2), 1e7)
+    tree = balltree.BallTree(np.arange(n), np.column_stack((x[:, 0] + np.arange(n) % 3, x[:, 1])))
+    q = np.array([[1e7, 1e7]])
+    where, ids, scores = next(tree.search(np.array([n - 1]), q, np.array([balltree.NONE]), 20))
+    assert sorted(ids.tolist()) == list(range(2, 62, 3)) and set(scores.tolist()) == {int(1e7) * int(1e7 + 2) + 10**14}
