@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARENT, CHILD = 8000, 1600
+SENTENCE = re.compile(r"(?<=[.!?])\s+", re.ASCII)
 
 
 def headed(text: Column) -> Column:
@@ -28,21 +33,43 @@ def sections(docs: DataFrame, size: int = PARENT) -> DataFrame:
 
 
 def children(parents: DataFrame, text: str = "body", size: int = CHILD) -> DataFrame:
-    """Adds child_index and child: paragraphs packed up to ``size`` characters; a longer paragraph is packed by sentences.
+    """Adds child_index and child in place of the text: paragraphs packed up to ``size`` characters; a longer paragraph is packed by sentences.
 
     A sentence longer than that stays whole; a blank text is one child. Pieces are first split to sentences only where
-    a paragraph is too long, and one fold then packs them all, so the tail of a long paragraph goes on filling.
+    a paragraph is too long, and one fold then packs them all, so the tail of a long paragraph goes on filling. The fold runs in
+    Arrow batches: a fold over arrays in SQL would copy its result with every child.
     """
-    paragraphs = f"filter(transform(split({text}, '\\\\n\\\\n'), p -> btrim(p, ' \\t\\r\\n')), p -> p <> '')"
-    flat = f"""flatten(transform({paragraphs}, p -> CASE WHEN length(p) > {size}
-        THEN transform(filter(split(p, '(?<=[.!?])\\\\s+'), x -> x <> ''), x -> struct(x AS t, 1 AS gap, true AS long)) ELSE array(struct(p AS t, 2 AS gap, false AS long)) END))"""
-    fold = f"""aggregate({flat}, struct('' AS cur, CAST(array() AS array<string>) AS done),
-        (s, p) -> CASE WHEN s.cur = '' THEN struct(p.t AS cur, s.done AS done)
-            WHEN length(s.cur) + length(p.t) + p.gap <= {size} THEN struct(concat(s.cur, CASE WHEN p.long THEN ' ' ELSE '\\n\\n' END, p.t) AS cur, s.done AS done)
-            ELSE struct(p.t AS cur, concat(s.done, array(s.cur)) AS done) END,
-        s -> CASE WHEN s.cur = '' THEN s.done ELSE concat(s.done, array(s.cur)) END)"""
-    out = parents.withColumn("_c", F.expr(fold)).withColumn("_c", F.when(F.size("_c") == 0, F.array(F.col(text))).otherwise(F.col("_c")))
-    return out.select(*[c for c in out.columns if c != "_c"], F.posexplode("_c").alias("child_index", "child"))
+    kept = [c for c in parents.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pack(t, size) for t in batch.column(len(kept)).to_pylist()]
+            owner = pa.array([i for i, some in enumerate(packed) for _ in some], pa.int32())
+            arrays = [batch.column(i).take(owner) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([i for some in packed for i in range(len(some))], pa.int32()), pa.array([c for some in packed for c in some], pa.string())], [*kept, "child_index", "child"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in parents.dtypes if c != text) + ", child_index int, child string"
+    return parents.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, schema)
+
+
+def pack(text: str, size: int) -> list[str]:
+    """The children of one text."""
+    done, current = [], ""
+    for paragraph in text.split("\n\n"):
+        paragraph = paragraph.strip(" \t\r\n")
+        long = len(paragraph) > size
+        for piece in SENTENCE.split(paragraph) if long else [paragraph]:
+            gap = " " if long else "\n\n"
+            if not piece:
+                continue
+            if not current:
+                current = piece
+            elif len(current) + len(piece) + len(gap) <= size:
+                current += gap + piece
+            else:
+                done.append(current)
+                current = piece
+    return [*done, current] if current else done or [text]
 
 
 def chunk_ids(parents: DataFrame, family: str = "family") -> DataFrame:
@@ -61,6 +88,25 @@ def hierarchy(docs: DataFrame, family: str = "family") -> DataFrame:
     return one.unionByName(two)
 
 
+def resolve_parents(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """(the columns of hits, parent_id, parent_text): each hit (chunk_id) with the parent that it is part of; a parent is its own."""
+    parent = chunks.filter("is_parent").select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_text")).dropDuplicates(["parent_id"])
+    own = chunks.select("chunk_id", F.coalesce("parent_chunk_id", "chunk_id").alias("parent_id")).dropDuplicates(["chunk_id"])
+    return hits.join(own, "chunk_id").join(parent, "parent_id")
+
+
+#: What a document's metadata are where they are not given.
+METADATA = {"clearance_level": "PUBLIC", "tenant_id": "default_tenant", "version_number": "1.0"}
+
+
+def with_defaults(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Metadata filled in; a family is made of the key's hash (8 characters), so that it is the same in every run."""
+    have = lambda c, kind: F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    filled = {c: F.coalesce(have(c, "string"), F.lit(v)) for c, v in METADATA.items()}
+    filled["doc_family_id"] = F.coalesce(have("doc_family_id", "string"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8))
+    return docs.withColumns(filled | {"is_active": F.coalesce(have("is_active", "boolean"), F.lit(True))})
+
+
 def figures(rows: DataFrame) -> DataFrame:
     """A parent and a child with the same text for each figure (figure_id, title, summary)."""
     text = F.format_string("### [FIGURE / DIAGRAM]: %s\n\n%s", "title", "summary")
