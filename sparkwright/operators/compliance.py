@@ -2,15 +2,14 @@
 
 A piping row is valid if t_actual >= P*D / (2(S*E + P*Y)) + c in exact rational arithmetic over the decimal text of the
 inputs. Doubles are used first: no term cancels, so the sign of the margin is certain outside a narrow band around zero,
-and only the rows inside the band go to an Arrow batch of fractions.
+and only the rows inside the band are settled by fractions, in the Arrow batches that all rows pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,26 +43,45 @@ def exact_verdict(p: float, d: float, s: float, e: float, y: float, c: float, t:
     return T >= tm, float(T - tm)
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [exact_verdict(*r) for r in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in INPUTS), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], [*b.schema.names, "valid", "margin"])
+def _exact(p: pd.Series, d: pd.Series, s: pd.Series, e: pd.Series, y: pd.Series, c: pd.Series, t: pd.Series) -> pd.DataFrame:
+    """Verdicts of the rows whose inputs are given; null for the others."""
+    out = pd.DataFrame({"valid": pd.Series([None] * len(p), dtype=object), "margin": pd.Series([None] * len(p), dtype="float64")})
+    near = p.notna().to_numpy().nonzero()[0]
+    if len(near):
+        found = [exact_verdict(*(float(x.iloc[i]) for x in (p, d, s, e, y, c, t))) for i in near]
+        out.loc[near, "valid"], out.loc[near, "margin"] = [v for v, _ in found], [m for _, m in found]
+    return out
 
 
 def piping(pipes: DataFrame) -> DataFrame:
     """Adds violations, t_min, valid, margin and status to rows with the columns of INPUTS (doubles)."""
-    rows = pipes.withColumn("violations", violations())
-    good = F.size("violations") == 0
-    t_min = F.col("P") * F.col("D") / (2 * (F.col("S") * F.col("E") + F.col("P") * F.col("Y"))) + F.col("c")
-    fine = rows.filter(good).withColumn("t_min", t_min).withColumn("_m", F.col("t_actual") - F.col("t_min"))
-    near = F.abs("_m") <= BAND * F.greatest(F.abs("t_actual"), F.abs("t_min"))
-    sure = fine.filter(~near).withColumns({"valid": F.col("_m") >= 0, "margin": F.col("_m")}).drop("_m")
-    # only rows whose sign the doubles do not settle; a filter and a union, since CASE would run the batch on all rows
-    close = fine.filter(near).drop("_m")
-    close = close.mapInArrow(_exact, ", ".join(f"`{n}` {t}" for n, t in close.dtypes) + ", valid boolean, margin double")
-    bad = rows.filter(~good).withColumns({"t_min": F.lit(None).cast("double"), "valid": F.lit(False), "margin": F.lit(FAILED)})
-    out = sure.unionByName(close).unionByName(bad)
-    return out.withColumn("status", F.when(F.col("valid"), "SAT").otherwise("UNSAT"))
+    t_min = F.try_divide(F.col("P") * F.col("D"), 2 * (F.col("S") * F.col("E") + F.col("P") * F.col("Y"))) + F.col("c")
+    rows = pipes.withColumn("violations", violations()).withColumn("_good", F.size("violations") == 0)
+    rows = rows.withColumn("t_min", F.when(F.col("_good"), t_min)).withColumn("_m", F.col("t_actual") - F.col("t_min"))
+    near = F.col("_good") & (F.abs("_m") <= BAND * F.greatest(F.abs("t_actual"), F.abs("t_min")))
+    # all rows pass in one go; those whose sign the doubles settle bring nulls only
+    rows = rows.withColumn("_x", F.pandas_udf(_exact, "valid boolean, margin double")(*[F.when(near, F.col(n).cast("double")) for n in INPUTS]))
+    valid = F.coalesce(F.col("_x.valid"), F.col("_good") & (F.col("_m") >= 0))
+    margin = F.when(~F.col("_good"), FAILED).otherwise(F.coalesce(F.col("_x.margin"), F.col("_m")))
+    rows = rows.withColumns({"valid": valid, "margin": margin}).drop("_good", "_m", "_x")
+    return rows.withColumn("status", F.when(F.col("valid"), "SAT").otherwise("UNSAT"))
+
+
+def rational(pipes: DataFrame) -> DataFrame:
+    """Adds t_min_rational: the least thickness as a fraction in lowest terms, from the decimal text of the inputs; null where a check fails."""
+    good = F.size(violations()) == 0
+    return pipes.withColumn("t_min_rational", F.pandas_udf(_fraction, "string")(*[F.when(good, F.col(n).cast("double")) for n in INPUTS[:-1]]))
+
+
+def _fraction(p: pd.Series, d: pd.Series, s: pd.Series, e: pd.Series, y: pd.Series, c: pd.Series) -> pd.Series:
+    def one(*values: float) -> str | None:
+        if any(v is None or v != v for v in values):
+            return None
+        P, D, S, E, Y, C = (Fraction(repr(float(v))) for v in values)
+        t = P * D / (2 * (S * E + P * Y)) + C
+        return f"{t.numerator}/{t.denominator}"
+
+    return pd.Series([one(*v) for v in zip(p, d, s, e, y, c, strict=True)], dtype=object)
 
 
 def piping_details(pipes: DataFrame) -> DataFrame:
