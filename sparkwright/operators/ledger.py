@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,24 @@ STRIKES, TTL, REASON = 3, 60, 20
 def chain(events: DataFrame) -> DataFrame:
     """(mission, id, payload, prev_hash, hash): hash = sha256(prev_hash + payload) in order of id within a mission.
 
-    A fold over one mission's payloads; a mission has to fit one task, as every hash needs the one before.
+    Every hash needs the one before, so a mission's events pass through one task in their order, which holds the last hash only.
     """
-    held = events.groupBy("mission").agg(F.array_sort(F.collect_list(F.struct("id", "payload"))).alias("rows"))
-    fold = """aggregate(rows, CAST(array() AS array<string>), (a, r) -> concat(a, array(sha2(concat(coalesce(try_element_at(a, -1), ''), coalesce(r.payload, '')), 256))))"""
-    out = held.withColumn("h", F.expr(fold)).select("mission", "h", F.posexplode("rows").alias("i", "r"))
-    return out.select("mission", "r.id", "r.payload", F.when(F.col("i") > 0, F.get("h", F.col("i") - 1)).alias("prev_hash"), F.get("h", "i").alias("hash"))
+    rows = events.select("mission", "id", "payload").repartition("mission").sortWithinPartitions("mission", "id")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(_chained, f"mission {kinds['mission']}, id {kinds['id']}, payload string, prev_hash string, hash string")
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mission, last = object(), None
+    for batch in batches:
+        before, after = [], []
+        for m, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if m != mission:
+                mission, last = m, None
+            before.append(last)
+            last = hashlib.sha256(((last or "") + (payload or "")).encode()).hexdigest()
+            after.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], ["mission", "id", "payload", "prev_hash", "hash"])
 
 
 def verify(log: DataFrame) -> DataFrame:
@@ -109,8 +123,26 @@ def override(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"accepted": accepted, "status_after": F.when(accepted, after)})
 
 
+def apply_overrides(units: DataFrame, requests: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """All units (id, status, retry_count, execution_lease_id, lease_expires_at) after the accepted requests (id and what ``override`` reads).
+
+    A unit takes the status that its request gives and loses its lease, with RETRY its strikes too; units that depend (id, needs),
+    directly or not, on one approved or retried go from BLOCKED to READY. A request for an unknown unit changes nothing.
+    """
+    told = override(requests).filter("accepted").select("id", "resolution", "status_after")
+    edges, freed = dependencies.select(F.col("needs").alias("src"), F.col("id").alias("dst")), told.filter("resolution <> 'REJECT'").join(units.select("id"), "id", "left_semi")
+    free = graph.reach(edges, freed.select(F.col("id").alias("node"))).select(F.col("node").alias("id")).distinct().withColumn("free", F.lit(True))
+    rows = units.join(told, "id", "left").join(free, "id", "left")
+    hit = F.col("status_after").isNotNull()
+    freed_now = F.col("free") & (F.col("status") == "BLOCKED")
+    return rows.withColumns({
+        "status": F.when(hit, F.col("status_after")).when(freed_now, "READY").otherwise(F.col("status")), "retry_count": F.when(F.col("resolution") == "RETRY", 0).otherwise(F.col("retry_count")),
+        "execution_lease_id": F.when(~hit, F.col("execution_lease_id")), "lease_expires_at": F.when(~hit, F.col("lease_expires_at")),
+    }).drop("resolution", "status_after", "free")
+
+
 def ready(units: DataFrame, dependencies: DataFrame, artifacts: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
-    """Ready or proposed units whose dependencies (id, needs) and inputs (id, artifact) are all committed, by id; what is unknown is unmet."""
+    """Ready or proposed units whose dependencies (id, needs) and inputs (id, artifact) are all committed; what is unknown is unmet. The order is the caller's: ``first_ready`` takes the least id."""
     done = units.filter("status = 'COMMITTED'").select(F.col("id").alias("needs"))
     out = units.filter(F.col("status").isin("READY", "PROPOSED")).join(dependencies.join(done, "needs", "left_anti").select("id"), "id", "left_anti")
     if inputs is not None and artifacts is not None:
@@ -119,6 +151,11 @@ def ready(units: DataFrame, dependencies: DataFrame, artifacts: DataFrame | None
     return out
 
 
+def first_ready(units: DataFrame, key: str = "mission") -> DataFrame:
+    """The ready unit with the least id of each mission."""
+    return units.groupBy(key).agg(F.min("id").alias("id"))
+
+
 def stalls(turns: DataFrame) -> DataFrame:
     """Adds stalled: a turn (conv_id, turn, failure) whose failure text has the hash of the one before."""
     h = F.sha2(F.coalesce("failure", F.lit("")), 256)
