@@ -1,0 +1,18 @@
+"""Filters of a fixed size that spare rows a shuffle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def perhaps(df: DataFrame, key: str, among: DataFrame, bits: int = 20) -> DataFrame:
+    """The rows of df whose key may be among those of another frame (column of that name), and a few others by chance.
+
+    2**bits bits are broadcast, whatever the data; the join after it decides. The more keys there are, the fewer rows it spares.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    held = among.select(place.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("_part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("_bits"))
+    rows = df.withColumn("_at", place).withColumn("_part", F.floor(F.col("_at") / 32768)).join(F.broadcast(held), "_part")
+    byte = F.expr("CAST(conv(hex(substring(_bits, CAST((_at % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    return rows.filter(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0).select(*df.columns)

@@ -6,10 +6,11 @@ are rounded to six decimals before they are ranked, so that equal scores stay eq
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.functions.text import jaccard, overlap, redacted, threats, tokens
+from sparkwright.functions.filters import perhaps
+from sparkwright.functions.text import ADAPTERS, domain, jaccard, overlap, redacted, threats, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, CANDIDATES, FINAL = 60, 25, 5
@@ -21,29 +22,36 @@ def best(df: DataFrame, k: int, score: str = "score", by: str = "query_id", tie:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) of every distinct term of every chunk."""
-    words = corpus.select("chunk_id", tokens(F.col("text")).alias("t"))
-    words = words.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return words.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def vocabulary(corpus: DataFrame) -> DataFrame:
+    """(term, df, dl) of every term: the chunks that hold it; the row of the null term has all chunks and the sum of their lengths.
+
+    A chunk's terms are told apart inside its row, so only the tasks' sums are shuffled, and the corpus is read once for all figures.
+    """
+    words = corpus.select(tokens(F.col("text")).alias("t")).select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
 
 
-def idf(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, idf) of every term; negative values become EPSILON times the mean over the vocabulary."""
-    n = corpus.agg(F.count(F.lit(1))).scalar()
-    raw = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def idf(terms: DataFrame) -> DataFrame:
+    """(term, idf) of every term of a vocabulary; negative values become EPSILON times the mean over the vocabulary."""
+    n = terms.filter("term IS NULL").agg(F.sum("df")).scalar()
+    raw = terms.filter("term IS NOT NULL").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) where a chunk has a term of the query and the score is above 0. Repeated query terms count each time."""
-    terms = postings(corpus)
-    mean = corpus.agg(F.avg(F.size(tokens(F.col("text"))))).scalar()
+    """(query_id, chunk_id, score) where a chunk has a term of the query and the score is above 0. Repeated query terms count each time.
+
+    Only terms that a query may have leave a chunk's row.
+    """
+    terms = vocabulary(corpus)
+    mean = terms.filter("term IS NULL").agg(F.sum("dl") / F.sum("df")).scalar()
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    asked = asked.join(idf(corpus, terms), "term")
+    words = corpus.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    found = perhaps(words, "term", asked).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked.join(idf(terms), "term")
     part = F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return terms.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    return found.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
 
 
 def substring_tf(corpus: DataFrame, queries: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def term_overlap(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): share of the query's distinct terms in the chunk, above 0."""
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q"))
     asked = asked.select("query_id", F.size("q").alias("size"), F.explode("q").alias("term"))
-    terms = corpus.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = perhaps(corpus.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "term", asked)
     found = terms.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return found.select("query_id", "chunk_id", F.round(F.col("n") / F.col("size"), 6).alias("score"))
 
@@ -91,6 +99,19 @@ def retrieve(corpus: DataFrame, queries: DataFrame, allowed: DataFrame | None =
     return rerank(fuse(best(one, dense), best(two, sparse)), queries, corpus, final)
 
 
+#: Why a query is refused: without results, or with a grounding below the threshold.
+NO_CONTEXT = "Insufficient domain context found in the air-gapped knowledge base to safely answer this query according to engineering standards."
+TOO_LOW = "Grounding score (%.2f) fell below safety threshold (%s). Insufficient domain context found in knowledge base."
+
+
+def refusal(queries: DataFrame, results: DataFrame, refuse: float = 0.45) -> DataFrame:
+    """(query_id, message) of the queries that are refused."""
+    gate = grounding(queries, results, refuse).filter("refuse")
+    some = results.select("query_id").distinct().withColumn("some", F.lit(True))
+    told = F.when(F.col("some"), F.format_string(TOO_LOW, "grounding", F.lit(str(refuse)))).otherwise(NO_CONTEXT)
+    return gate.join(some, "query_id", "left").select("query_id", told.alias("message"))
+
+
 def grounding(queries: DataFrame, results: DataFrame, refuse: float = 0.45, high: float = 0.75) -> DataFrame:
     """One row a query: grounding = 0.4 mean + 0.6 best score, its tier and whether to refuse. No results: 0 and refused."""
     per = results.groupBy("query_id").agg(F.round(0.4 * F.avg("score") + 0.6 * F.max("score"), 3).alias("g"))
@@ -99,6 +120,10 @@ def grounding(queries: DataFrame, results: DataFrame, refuse: float = 0.45, high
     return queries.select("query_id").join(per, "query_id", "left").select("query_id", g.alias("grounding"), tier.alias("tier"), (g < refuse).alias("refuse"))
 
 
+#: Fixed value: the warning of a superseded source.
+SUPERSEDED = "⚠️ NOTICE: Retrieved source '%s' (Version %s, Effective: %s) is superseded by a newer edition in the knowledge base."
+
+
 def temporal_warnings(results: DataFrame, chunks: DataFrame, active: DataFrame) -> DataFrame:
     """(query_id, warning, first_rank) of results whose chunk is not active or whose version is not the active one of its family.
 
@@ -106,21 +131,42 @@ def temporal_warnings(results: DataFrame, chunks: DataFrame, active: DataFrame)
     """
     rows = results.join(chunks, "chunk_id").join(active, "family", "left")
     stale = rows.filter(~F.coalesce("is_active", F.lit(True)) | (F.col("active_version") != F.col("version")))
-    text = F.format_string("Retrieved source '%s' (Version %s, Effective: %s) is superseded by a newer edition", "doc_name", "version", F.coalesce("effective_date", F.lit("N/A")))
+    text = F.format_string(SUPERSEDED, F.coalesce("doc_name", F.lit("Document")), F.coalesce("version", F.lit("1.0")), F.coalesce("effective_date", F.lit("N/A")))
     return stale.groupBy("query_id", text.alias("warning")).agg(F.min("rank").alias("first_rank"))
 
 
-def cache_get(entries: DataFrame, queries: DataFrame, level: float = 0.96) -> DataFrame:
-    """(query_id, tier, entry_seq): an equal query (its last entry), else the first entry whose terms are alike to ``level``.
+def warning_list(warnings: DataFrame) -> DataFrame:
+    """(query_id, warnings): the distinct warnings of each query in the order in which its results show them first."""
+    held = warnings.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("first_rank", "warning"))).alias("w"))
+    return held.select("query_id", F.transform("w", lambda x: x["warning"]).alias("warnings"))
+
 
-    entries: seq, query, tenant, rank; queries: query_id, query, tenant, rank. An entry serves its own tenant and at
-    least its clearance rank. Alike pairs are found by their shared terms, not by comparing all.
+def cache_put(entries: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache with further entries behind those it has; a query's last entry counts as the exact one.
+
+    fresh: order (1, 2, ...) and the columns of entries without seq, which goes on from the last one.
+    """
+    last = entries.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+    return entries.unionByName(fresh.withColumn("seq", (last + F.col("order")).cast("long")).select(*entries.columns))
+
+
+def cache_get(entries: DataFrame, queries: DataFrame, level: float = 0.96, active: dict[str, str] | None = None) -> DataFrame:
+    """(query_id, tier, entry_seq): the last entry of an equal query if it is valid, else the first valid entry whose terms are alike to ``level``.
+
+    entries: seq, query, tenant, rank and, with ``active``, versions (MAP family -> version); queries: query_id, query, tenant, rank.
+    An entry is valid for its own tenant (a global one for all), at least its clearance rank, and while no family in ``active``
+    has another version. Alike pairs are found by their shared terms, not by comparing all.
     """
+    key_of = F.md5(F.lower(F.trim("query")))
+    newest = entries.groupBy(key_of.alias("k")).agg(F.max("seq").alias("seq"))  # put overwrites, valid or not
+    entries = valid_entries(entries, active) if active else entries
     key = lambda c: F.md5(F.lower(F.trim(c)))
     e = entries.select("seq", F.col("tenant").alias("e_tenant"), F.col("rank").alias("e_rank"), key("query").alias("key"), F.array_distinct(tokens(F.col("query"))).alias("e"))
     q = queries.select("query_id", "tenant", "rank", key("query").alias("key"), F.array_distinct(tokens(F.col("query"))).alias("q"))
-    good = (F.col("tenant") == F.col("e_tenant")) & (F.col("rank") >= F.col("e_rank"))
-    exact = q.join(e, "key").filter(good).groupBy("query_id").agg(F.lit(1).alias("tier"), F.max("seq").alias("entry_seq"))
+    good = F.col("e_tenant").isin("global") | (F.col("tenant") == F.col("e_tenant"))
+    good = good & (F.col("rank") >= F.col("e_rank"))
+    last = e.join(newest.select("seq"), "seq", "left_semi")
+    exact = q.join(last, "key").filter(good).groupBy("query_id").agg(F.lit(1).alias("tier"), F.max("seq").alias("entry_seq"))
     pairs = q.select("query_id", "tenant", "rank", "q", F.explode("q").alias("t")).join(e.select("seq", "e_tenant", "e_rank", "e", F.explode("e").alias("t")), "t").filter(good)
     shared = pairs.groupBy("query_id", "seq").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("q")).alias("a"), F.first(F.size("e")).alias("b"))
     alike = shared.filter(F.col("n") >= level * (F.col("a") + F.col("b") - F.col("n"))).groupBy("query_id").agg(F.lit(2).alias("tier"), F.min("seq").alias("entry_seq"))
@@ -179,6 +225,35 @@ def wrap(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.select("query_id", F.concat_ws("\n", F.array(F.lit(NOTICE)), F.transform("b", lambda x: x["b"])).alias("context"))
 
 
+def adapter_swaps(queries: DataFrame, session: str = "session", order: str = "order") -> DataFrame:
+    """Adds domain, the adapter that it takes (null: none) and whether it is swapped in: another than the query before left behind in its session."""
+    names = F.create_map(*[F.lit(x) for kv in ADAPTERS.items() for x in kv])
+    rows = queries.withColumn("domain", domain(F.col("query"))).withColumn("adapter", F.try_element_at(names, F.col("domain")))
+    before = F.lag("adapter").over(Window.partitionBy(session).orderBy(order))
+    return rows.withColumn("swapped", F.col("adapter").isNotNull() & ~F.col("adapter").eqNullSafe(before))
+
+
+def index_search(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, allowed: Column | None = None, k: int = CANDIDATES) -> DataFrame:
+    """Lexical, vector and metadata index at once: BM25 and cosine ranks of the chunks that ``allowed`` (a condition on corpus) lets through, fused.
+
+    vectors: chunk_id, v ARRAY<DOUBLE>; queries: query_id, query; asked: query_id, q ARRAY<DOUBLE>, a stated set that is
+    compared with all vectors.
+    """
+    some = corpus if allowed is None else corpus.filter(allowed)
+    lexical = best(bm25(corpus, queries).join(some.select("chunk_id"), "chunk_id", "left_semi"), k)
+    near = best(cosine(vectors.join(some.select("chunk_id"), "chunk_id", "left_semi"), asked), k)
+    return fuse(near, lexical)
+
+
+def cosine(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): cosine of every vector with every query, to six digits; null, empty and zero vectors have none."""
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    v = vectors.select("chunk_id", "v", norm(F.col("v")).alias("nv")).filter("nv > 0")
+    q = asked.select("query_id", "q", norm(F.col("q")).alias("nq")).filter("nq > 0")
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return v.join(q, F.size("v") == F.size("q")).select("query_id", "chunk_id", F.round(dot / (F.col("nv") * F.col("nq")), 6).alias("score"))
+
+
 def similar_terms(a: DataFrame, b: DataFrame) -> DataFrame:
     """Jaccard similarity of the distinct terms of two aligned text columns, ids kept: (id, a, b) -> (id, score)."""
     return a.join(b, "id").select("id", F.round(jaccard(F.array_distinct(tokens(F.col("a"))), F.array_distinct(tokens(F.col("b")))), 6).alias("score"))
