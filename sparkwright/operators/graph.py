@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,13 +14,21 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their history: in the folder that all executors share, or with the executors where none is set (tests)."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.localCheckpoint()
+    """The same rows without their history, in the folder that all executors share; one of our own only in local mode where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or _own_folder())
+    return df.checkpoint()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="sparkwright-graph-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def rounds(most: int | None) -> Iterator[int]:
@@ -84,6 +96,44 @@ def simple_paths(edges: DataFrame, source, target, most: int | None = None) -> D
     return out
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the edges, whatever their direction: the least node that they reach.
+
+    Large-star and small-star steps: a node hands its neighbours its least one, until every node hangs on a least one of its own.
+    """
+    e = cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct())
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = e.join(least, "b").select("a", F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        after = cut(small)
+        if after.exceptAll(e).isEmpty() and e.exceptAll(after).isEmpty():
+            break
+        e = after
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(e.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
+
+
+def cascade(artifacts: DataFrame, edges: DataFrame, changed: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Artifacts (id, status) and units (id, artifact, status) after some artifacts (id) have changed.
+
+    What is derived from them (edges: src, dst), directly or not, and they themselves are INVALIDATED, and the units that made
+    them are READY again; siblings on other branches keep their status.
+    """
+    hit = changed.select(F.col("id")).unionByName(reach(edges, changed.select(F.col("id").alias("node"))).select(F.col("node").alias("id"))).distinct().withColumn("hit", F.lit(True))
+    made = artifacts.join(hit, "id", "left").withColumn("status", F.when(F.col("hit"), "INVALIDATED").otherwise(F.col("status"))).drop("hit")
+    again = units.join(hit.withColumnRenamed("id", "artifact"), "artifact", "left").withColumn("status", F.when(F.col("hit"), "READY").otherwise(F.col("status"))).drop("hit")
+    return made, again
+
+
+def missing_tags(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted tags (tag) that no node has as its id or tag; none: the drawing is complete."""
+    have = nodes.select(F.col("node_id").alias("tag")).unionByName(nodes.select("tag")).distinct()
+    return wanted.select("tag").distinct().join(have, "tag", "left_anti")
+
+
 def valves_on(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target, tag) of the distinct valves on each path, with the place of the first."""
     steps = paths.select("source", "target", F.posexplode("path").alias("place", "node_id"))
