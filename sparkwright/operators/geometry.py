@@ -48,6 +48,33 @@ def to_patch(box: tuple[str, ...], patch: tuple[str, ...], clip: bool = False) -
     return F.when(ok, F.struct((low_x - a1).alias("x1"), (low_y - b1).alias("y1"), (high_x - a1).alias("x2"), (high_y - b1).alias("y2")))
 
 
+def to_drawing(box: tuple[str, ...], patch: tuple[str, ...]) -> Column:
+    """STRUCT of a patch's box in the drawing's coordinates; patch: its left and upper edge."""
+    (x1, y1, x2, y2), (a, b) = (F.col(c) for c in box), (F.col(c) for c in patch[:2])
+    return F.struct((x1 + a).alias("x1"), (y1 + b).alias("y1"), (x2 + a).alias("x2"), (y2 + b).alias("y2"))
+
+
+def point_to_patch(x: Column, y: Column, patch: tuple[str, ...], clip: bool = False) -> Column:
+    """STRUCT(x, y) of a drawing's point in a patch (left, top, right, bottom): null outside, or with ``clip`` the nearest pixel."""
+    a1, b1, a2, b2 = (F.col(c) for c in patch)
+    inside = (x >= a1) & (x < a2) & (y >= b1) & (y < b2)
+    near = lambda v, low, high: F.greatest(F.lit(0.0), F.least((high - low - 1).cast("double"), (v - low).cast("double")))
+    kept = F.struct((x - a1).cast("double").alias("x"), (y - b1).cast("double").alias("y"))
+    return F.when(inside, kept).otherwise(F.struct(near(x, a1, a2).alias("x"), near(y, b1, b2).alias("y")) if clip else F.lit(None))
+
+
+def mask_centroid(pixels: DataFrame, keys: tuple[str, ...] = ("img_id",)) -> DataFrame:
+    """(keys, x, y) of masks (keys, x, y, value): the mean place of the pixels above 0, null where there is none."""
+    on = F.col("value") > 0
+    return pixels.groupBy(*keys).agg(F.avg(F.when(on, F.col("x"))).alias("x"), F.avg(F.when(on, F.col("y"))).alias("y"))
+
+
+def tent(place: Column, size: Column, overlap: int) -> Column:
+    """Weight of a pixel at a place in a patch's row or column: it falls towards the edges within the overlap, and is 1 between."""
+    edge = F.least(place + 1, size - place) / F.lit(float(max(overlap, 1)))
+    return F.least(F.lit(1.0), edge)
+
+
 def centroid(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(((x1 + x2) / 2).alias("x"), ((y1 + y2) / 2).alias("y"))
 
