@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import threading
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RING, SLOT, QUEUE = 1024, 4096, 128
@@ -110,10 +114,144 @@ def lease_timers(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return rows.groupBy("unit_id").applyInPandasWithState(lease_step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_ledger(stream: DataFrame, path: str, checkpoint: str):
-    """The single writer: each batch is appended once, under its own id, so that a repeated batch overwrites itself."""
+#: The writer's tries, its first and longest wait (seconds), and what a caller waits for its turn.
+TRIES, WAIT, LONGEST, BARRIER = 10, 0.005, 0.5, 5.0
+
+
+def retried(action: Callable[[], object], busy: Callable[[Exception], bool], tries: int = TRIES, sleep: Callable[[float], None] = time.sleep):
+    """The action's result; while it fails because the store is busy it is tried again, with waits that double."""
+    for n in range(tries):
+        try:
+            return action()
+        except Exception as e:
+            if n == tries - 1 or not busy(e):
+                raise
+            sleep(min(LONGEST, WAIT * 2**n))
+
+
+def append_ledger(stream: DataFrame, path: str, checkpoint: str, busy: Callable[[Exception], bool] = lambda e: "lock" in str(e).lower() or "busy" in str(e).lower()):
+    """The single writer: each batch is appended once, under its own id, so that a repeated batch overwrites itself; a busy store is tried again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        retried(lambda: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), busy)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def flush(query, seconds: float = BARRIER) -> bool:
+    """Wait until all that has come to a stream is written; whether it was in time."""
+    done = threading.Event()
+    threading.Thread(target=lambda: (query.processAllAvailable(), done.set()), daemon=True).start()
+    return done.wait(seconds)
+
+
+#: The kinds of events that the workbench tells its subscribers.
+KINDS = ("ast_violation", "sandbox_run", "z3_evaluation", "agent_turn")
+IDLE = 2.0
+GREETING = '{"status": "connected", "airgap": "PASS", "wan_egress": 0}'
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Rows of the kinds that subscribers are told of."""
+    return rows.filter(F.col("event_type").isin(*KINDS))
+
+
+def sessions_of(rows: DataFrame, key: str, connected: Column, idle: float = IDLE, most: int | None = None) -> DataFrame:
+    """(key, seq, event, at): what a subscriber's stream sends: a greeting, its events, a heartbeat after each ``idle`` seconds of silence.
+
+    rows: key, ts, event_id, event_type; ``connected`` is the time of the greeting, where events before it are not seen. The stream
+    stops after ``most`` messages. Heartbeats fill the gaps between messages, so they need the next event to come.
+    """
+    second = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+    seen = rows.withColumn("start", second(connected)).withColumn("at", second(F.col("ts"))).filter("at >= start")
+    greet = seen.groupBy(key).agg(F.min("start").alias("at")).select(key, "at", F.lit(-1).cast("long").alias("event_id"), F.lit("connect").alias("event"))
+    all_ = greet.unionByName(seen.select(key, "at", F.col("event_id").cast("long"), F.col("event_type").alias("event")))
+    order = Window.partitionBy(key).orderBy("at", "event_id")
+    gap = F.coalesce(F.lead("at").over(order) - F.col("at"), F.lit(0.0))
+    beats = F.ceil(gap / idle) - 1  # a message in the very moment comes instead of the beat
+    beats = F.when(beats > 0, F.transform(F.sequence(F.lit(1), F.greatest(beats, F.lit(1))), lambda i: F.struct((F.col("at") + i * idle).alias("at"), F.lit("heartbeat").alias("event"))))
+    own = F.array(F.struct("at", "event"))
+    sent = all_.withColumn("b", F.concat(own, F.coalesce(beats, F.array().cast("array<struct<at:double,event:string>>")))).select(key, "event_id", F.posexplode("b").alias("place", "m"))
+    out = sent.select(key, F.row_number().over(Window.partitionBy(key).orderBy("m.at", "event_id", "place")).alias("seq"), F.col("m.event").alias("event"), F.col("m.at").alias("at"))
+    return out if most is None else out.filter(F.col("seq") <= most)
+
+
+def pulse(spark: SparkSession, seconds: int = 5) -> DataFrame:
+    """A stream of heartbeats (n, at), one each few seconds."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.filter(F.col("value") % seconds == 0).select((F.col("value") / seconds).cast("long").alias("n"), F.col("timestamp").alias("at"))
+
+
+def watchdog(spark: SparkSession, sweep: Callable[[], object], seconds: float = 10.0, checkpoint: str | None = None):
+    """Runs ``sweep`` every few seconds, one run after the other; stop the query that it gives back to end it."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda batch, number: sweep() and None).trigger(processingTime=f"{max(1, round(seconds * 1000))} milliseconds")
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+class RingSource(DataSource):
+    """A ring file as a stream: ``spark.readStream.format("ring").option("path", file)``.
+
+    The file holds two unsigned 64-bit numbers, messages written and slots, then slots of a length (32 bits) and SLOT bytes.
+    A trigger takes all that is written since the last; messages that the writer has overwritten before are lost, as in any ring.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "ring"
+
+    def schema(self) -> str:
+        return "seq long, payload binary"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return RingReader(self.options["path"])
+
+
+class RingReader(SimpleDataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def initialOffset(self) -> dict:
+        return {"seq": 0}
+
+    def _rows(self, first: int, end: int | None) -> tuple[list[tuple[int, bytes]], int]:
+        with open(self.path, "rb") as f:
+            written, slots = struct.unpack("<QQ", f.read(16))
+            end = written if end is None else min(end, written)
+            rows = []
+            for seq in range(max(first, written - slots), end):
+                f.seek(16 + seq % slots * (4 + SLOT))
+                size = struct.unpack("<I", f.read(4))[0]
+                rows.append((seq, f.read(size)))
+        return rows, end
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._rows(start["seq"], None)
+        return iter(rows), {"seq": end}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._rows(start["seq"], end["seq"])[0])
+
+
+def ring_write(path: str, messages: Iterable[bytes], slots: int = RING) -> int:
+    """Append messages to a ring file, made if it is missing; how many it has ever taken. Longer ones raise."""
+    try:
+        f = open(path, "r+b")
+        written, slots = struct.unpack("<QQ", f.read(16))
+    except FileNotFoundError:
+        f, written = open(path, "w+b"), 0
+    with f:
+        for m in messages:
+            if len(m) > SLOT:
+                raise ValueError(f"a slot holds {SLOT} bytes")
+            f.seek(16 + written % slots * (4 + SLOT))
+            f.write(struct.pack("<I", len(m)) + m)
+            written += 1
+        f.seek(0)
+        f.write(struct.pack("<QQ", written, slots))
+    return written
+
+
+def take(path: str, use: Callable[[memoryview], object], first: int = 0) -> list:
+    """What a closure makes of each message from ``first`` on, over the slot's bytes without a copy of its own."""
+    return [use(memoryview(payload)) for _, payload in RingReader(path)._rows(first, None)[0]]
