@@ -7,9 +7,11 @@ from collections.abc import Iterable
 from io import BytesIO
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
+from sparkwright.operators.access import classify_files
 from sparkwright.operators.audit import sheet_name
 
 
@@ -23,17 +25,53 @@ def drawings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
+#: The lists of a companion file that hold symbols.
+LISTS = ("equipment", "valves", "detected_symbols")
+
+
 def companion(spark: SparkSession, path: str) -> DataFrame:
-    """(tag, type, desc, kind) from a JSON file beside a drawing with lists under equipment, valves or detected_symbols."""
+    """(tag, type, desc, kind) from a JSON file beside a drawing with lists under LISTS; without any item there, from its other lists and objects.
+
+    A list of texts gives tags. A file that is a list itself has kind ``item``.
+    """
     raw = spark.read.json(path, multiLine=True)
-    out = None
-    for kind in ("equipment", "valves", "detected_symbols"):
-        if kind in raw.columns:
-            item = raw.select(F.explode(kind).alias("i"))
-            fields = item.schema["i"].dataType.fieldNames()
-            one = item.select(*[(F.col(f"i.{f}") if f in fields else F.lit(None)).cast("string").alias(f) for f in ("tag", "type", "desc")], F.lit(kind).alias("kind"))
-            out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "tag string, type string, desc string, kind string")
+
+    def items(kind: str, column: Column, kind_of: DataType) -> DataFrame:
+        held = F.explode(column) if isinstance(kind_of, ArrayType) else column
+        kind_of = kind_of.elementType if isinstance(kind_of, ArrayType) else kind_of
+        item = raw.select(held.alias("i"))
+        fields = kind_of.fieldNames() if isinstance(kind_of, StructType) else []
+        one = {f: F.col(f"i.`{f}`") if f in fields else F.lit(None) for f in ("tag", "type", "desc")}
+        one["tag"] = one["tag"] if fields else F.col("i")
+        return item.select(*[c.cast("string").alias(f) for f, c in one.items()], F.lit(kind).alias("kind"))
+
+    def together(names: list[str]) -> DataFrame | None:
+        out = None
+        for name in names:
+            kind_of = raw.schema[name].dataType
+            if isinstance(kind_of, (ArrayType, StructType)):
+                one = items(name, F.col(f"`{name}`"), kind_of)
+                out = one if out is None else out.unionByName(one)
+        return out
+
+    if set(raw.columns) & {"tag", "type", "desc"}:  # a list of objects: Spark reads them as rows
+        return items("item", F.struct(*[F.col(f"`{c}`") for c in raw.columns]), raw.schema)
+    found = together([c for c in LISTS if c in raw.columns])
+    if found is None or found.isEmpty():
+        found = together([c for c in raw.columns if c not in LISTS])
+    return found if found is not None else spark.createDataFrame([], "tag string, type string, desc string, kind string")
+
+
+def mirrored(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) and, where both ends have a node (node_id) named equipment_ or valve_ before their own name, the edge between those."""
+    known = nodes.select("node_id").distinct()
+    named = edges
+    for end in ("src", "dst"):
+        for prefix in ("equipment_", "valve_"):
+            named = named.join(known.withColumnRenamed("node_id", f"{prefix}{end}"), F.col(f"{prefix}{end}") == F.concat(F.lit(prefix), F.col(end)), "left")
+        named = named.withColumn(f"{end}_named", F.coalesce(f"equipment_{end}", f"valve_{end}"))
+    twins = named.filter("src_named IS NOT NULL AND dst_named IS NOT NULL").select(F.col("src_named").alias("src"), F.col("dst_named").alias("dst"))
+    return edges.select("src", "dst").unionByName(twins).distinct()
 
 
 def connections(spark: SparkSession, path: str) -> DataFrame:
@@ -65,8 +103,16 @@ def packet_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vault_rows(files: DataFrame) -> DataFrame:
-    """(name, sha256, size) of ingested files."""
-    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(name, sha256, size, type, clearance) of ingested files."""
+    rows = files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    return classify_files(rows)
+
+
+def vault_audit(vault: DataFrame, user: str) -> DataFrame:
+    """Two rows (actor, action, hash, details) for each ingested file: the user's and the platform's."""
+    one = F.struct(F.lit("USER").alias("actor"), F.concat(F.lit("Manually ingested input file: "), F.col("name")).alias("action"), F.concat(F.substring("sha256", 1, 24), F.lit("...")).alias("hash"), F.format_string("Size: %s | Type: %s | Clearance: %s | Egress: 0 WAN Packets", F.col("size").cast("string"), "type", "clearance").alias("details"))
+    two = F.struct(F.lit("PLATFORM").alias("actor"), F.lit("SHA-256 Merkle leaf registered and sealed into vault").alias("action"), F.col("sha256").alias("hash"), F.lit(f"Cryptographic zero-knowledge binding to persona: {user}").alias("details"))
+    return vault.select("name", F.inline(F.array(one, two)))
 
 
 def _cell(value) -> str:
@@ -77,22 +123,46 @@ def _cell(value) -> str:
     return str(value)
 
 
+def column_widths(df: DataFrame) -> DataFrame:
+    """(column, width) of a sheet: the longest text of each column, its heading too, and three more, 12 at least."""
+    shown = [F.max(F.length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("N/A")))).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.greatest(F.greatest(F.coalesce(F.col(f"c{i}"), F.lit(0)), F.lit(len(c))) + 3, F.lit(12)).alias("width")) for i, c in enumerate(df.columns)]
+    return df.agg(*shown).select(F.inline(F.array(*rows)))
+
+
+#: Fixed value: what column G of a calculation's sheet holds in each row.
+FORMULA = "=(C{r}*D{r})/(2*(E{r}*F{r}+C{r}*0.4))+0.125"
+
+
+def calculates(columns: list[str]) -> bool:
+    """Whether a sheet is a calculation's: it has P, D, S and E, or seven columns with one of its inputs."""
+    return {"P", "D", "S", "E"} <= {c.strip().upper() for c in columns} or (len(columns) >= 7 and bool({"P", "design_pressure", "t_min", "measured_t"} & set(columns)))
+
+
 def workbook(sheets: Iterable[tuple[str, DataFrame]], path: str) -> None:
-    """An .xlsx file with one sheet a frame: titles cleaned, headings in capitals, no data noted. Rows stream through the driver, none are held."""
+    """An .xlsx file with one sheet a frame: titles cleaned, headings in capitals, widths by the content, formulas kept, no data noted.
+
+    Column G of a calculation's sheet is its formula. Rows stream through the driver, none are held.
+    """
     names = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for i, (title, df) in enumerate(sheets, 1):
             names.append(df.sparkSession.range(1).select(sheet_name(F.lit(title))).first()[0])
+            widths = [r["width"] for r in column_widths(df).collect()] if df.columns else []  # a row a column
             with out.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-                rows, empty = df.toLocalIterator(), True
-                head = [c.upper().replace("_", " ") for c in df.columns]
+                f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">')
+                f.write(("<cols>" + "".join(f'<col min="{n}" max="{n}" width="{w}" customWidth="1"/>' for n, w in enumerate(widths, 1)) + "</cols>").encode() if widths else b"")
+                f.write(b"<sheetData>")
+                head, n = [c.upper().replace("_", " ") for c in df.columns], 1
                 for row in [head, *([] if df.columns else [["No Data"]])]:
                     f.write(_row(row))
-                for r in rows:
-                    empty = False
-                    f.write(_row([_cell(v) for v in r]))
-                if empty:
+                for n, r in enumerate(df.toLocalIterator(), 2):
+                    cells = [_cell(v) for v in r]
+                    if calculates(df.columns):
+                        cells += [""] * (7 - len(cells))
+                        cells[6] = FORMULA.format(r=n)
+                    f.write(_row(cells))
+                if n == 1:
                     f.write(_row(["Empty Sheet"]))
                 f.write(b"</sheetData></worksheet>")
         listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
@@ -105,7 +175,8 @@ def workbook(sheets: Iterable[tuple[str, DataFrame]], path: str) -> None:
 
 
 def _row(cells: list[str]) -> bytes:
-    return ("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in cells) + "</row>").encode()
+    cell = lambda c: f"<c><f>{escape(c[1:])}</f></c>" if c.startswith("=") else f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>'
+    return ("<row>" + "".join(map(cell, cells)) + "</row>").encode()
 
 
 def memo(meta: dict[str, str], table: DataFrame, cites: Iterable[str]) -> bytes:
