@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.plans import catalog_documents, catalog_records, catalog_shapes, catalog_workbench
+from sparkwright.plans import catalog_documents, catalog_records, catalog_shapes, catalog_surfaces, catalog_workbench
 
-PARTS = (catalog_documents, catalog_records, catalog_shapes, catalog_workbench)
+PARTS = (catalog_documents, catalog_records, catalog_shapes, catalog_workbench, catalog_surfaces)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLE.items()}
 

@@ -53,11 +53,6 @@ def secured_retrieve(spark, d):
 
 
 def substring_topn(spark, d):
-    q = asked(spark, d).select("query_id", F.concat_ws(" ", F.slice(F.split("query", r"\s+"), 1, 2)).alias("query"))
-    return retrieval.best(retrieval.substring_tf(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.lower("n_name").alias("text")), q.select("query_id", F.lit("an ia").alias("query"))), 5).select("query_id", "chunk_id", "score", "rank")
-
-
-def substring_docs(spark, d):
     """All words of every benchmark passage, as substrings of all documents."""
     return retrieval.best(retrieval.substring_tf(corpus(spark, d), asked(spark, d)), 25).select("query_id", "chunk_id", "score", "rank")
 
@@ -101,20 +96,13 @@ def child_totals(spark, d):
     return child_chunks(spark, d).select("doc_id", "n_chars")
 
 
-def chunk_json_all(spark, d):
+def chunk_json(spark, d):
     """Children of every document as JSON and back."""
     c = chunking.children(chunking.sections(table(spark, d, "documents"))).select("doc_id", "child_index", F.col("child").alias("text"))
     back = c.select(F.to_json(F.struct(*c.columns)).alias("j")).select(F.from_json("j", "doc_id long, child_index int, text string").alias("r")).select("r.*")
     return back.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
 
 
-def chunk_json(spark, d):
-    """Children as JSON and back."""
-    c = chunking.children(chunking.sections(table(spark, d, "documents").filter("doc_id % 10 = 0"))).select("doc_id", "child_index", F.col("child").alias("text"))
-    back = c.select(F.to_json(F.struct(*c.columns)).alias("j")).select(F.from_json("j", "doc_id long, child_index int, text string").alias("r")).select("r.*")
-    return back.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
-
-
 def chunk_hierarchy(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("family"))
     return chunking.hierarchy(docs).groupBy("is_parent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum("token_count").alias("tokens"))
@@ -191,11 +179,11 @@ def vault_search(spark, d):
 
 
 def stall_detect(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 1).alias("failure"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 3).cast("string").alias("failure"))
     return ledger.stalls(turns).groupBy("conv_id").agg(F.count_if("stalled").alias("stalls"), F.count(F.lit(1)).alias("turns"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, substring_docs, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_json_all, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
+QUERIES = {f.__name__: f for f in (bm25_topn, overlap_topn, rrf_fuse, hybrid_retrieve, secured_retrieve, substring_topn, grounding_gate, temporal_warnings, fixed_blocks, heading_sections, child_chunks, child_totals, chunk_json, chunk_hierarchy, rbac_filter, store_filter, semantic_cache, injection_scan, citations, boundary_wrap, decompose_tags, merge_contexts, route_domain, facet_counts, vault_search, stall_detect)}
 
 TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda t: t <> '')"
 BASE = f"""
@@ -235,28 +223,35 @@ PAGE_TEXT = "html"
 for _pattern, _by in (("'(?s)<(script|style)[^>]*>.*?</(script|style)>'", "''"), ("'<h1[^>]*>'", "chr(10) || '# '"), ("'</h1>'", "chr(10)"), ("'<p>'", "chr(10) || chr(10)"), ("'<[^>]*>'", "''")):
     PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, {_pattern}, {_by}, 'g')"
 
+WS = "' ' || chr(9) || chr(13) || chr(10)"
+BLOCKS = f"""WITH b AS (SELECT doc_id, i AS section_index, substring(text, CAST(i * 8000 + 1 AS INTEGER), 8000) AS part FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 1) // 8000, 0) + 1)) AS i FROM documents)),
+    t AS (SELECT doc_id, section_index, trim(part, {WS}) AS body FROM b WHERE trim(part, {WS}) <> ''),
+    p AS (SELECT *, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS ps FROM t),
+    f AS (SELECT *, flatten(list_transform(ps, lambda p: CASE WHEN length(p) > 1600 THEN list_transform(list_filter(string_split(regexp_replace(p, '([.!?])[ \\t\\n\\f\\r\\v]+', '\\1' || chr(2), 'g'), chr(2)), lambda x: x <> ''), lambda x: 'L' || x) ELSE ['P' || p] END)) AS pieces FROM p),
+    c AS (SELECT doc_id, section_index, body, unnest(string_split(list_reduce(list_prepend('', pieces), lambda s, x: CASE WHEN s = '' THEN substring(x, 2) WHEN length(string_split(s, chr(1))[-1]) + length(x) - 1 + CASE WHEN x[1] = 'L' THEN 1 ELSE 2 END <= 1600
+        THEN s || CASE WHEN x[1] = 'L' THEN ' ' ELSE chr(10) || chr(10) END || substring(x, 2) ELSE s || chr(1) || substring(x, 2) END), chr(1))) AS child FROM f)"""
+
 ORACLE = {
+    "child_chunks": BLOCKS + " SELECT doc_id, count(*) AS n_children, CAST(sum(length(regexp_replace(child, '\\s', '', 'g'))) AS BIGINT) AS n_chars, CAST(max(length(child)) AS INTEGER) AS longest FROM c GROUP BY doc_id",
+    "chunk_hierarchy": BLOCKS + f" SELECT true AS is_parent, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum(len({TOK('body')})) AS BIGINT) AS tokens FROM t UNION ALL SELECT false, count(*), count(DISTINCT doc_id), CAST(sum(len({TOK('child')})) AS BIGINT) FROM c",
     "heading_sections": f"""WITH p AS (SELECT page_id AS doc_id, {PAGE_TEXT} AS text FROM pages),
         s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(^|\\n)(#{{1,4}}\\s+\\S)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10)) <> '') AS parts FROM p),
         e AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)
         SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_index, CAST(length(CASE WHEN regexp_matches(parts[i], '^#{{1,4}}\\s') THEN trim(regexp_extract(parts[i], '^#{{1,4}}\\s+([^\\n]*)', 1)) ELSE 'Preamble' END) AS INTEGER) AS title_n,
         sha256(regexp_replace(parts[i], '\\s', '', 'g')) AS sha FROM e""",
     "child_totals": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
-    "chunk_json": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 10 = 0 AND regexp_matches(text, '\\S')",
-    "chunk_json_all": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
+    "chunk_json": "SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(text, '\\S')",
     "bm25_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM br",
     "overlap_topn": BASE.rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM orr",
     "rrf_fuse": (BASE + FUSE.format(o="orr", b="br")).rstrip().rstrip(",") + " SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM fr",
     "hybrid_retrieve": HYBRID + " SELECT * FROM h",
     "secured_retrieve": BASE.replace("br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE score > 0)", f"sec AS ({SECURED}), mine AS (SELECT doc_id AS chunk_id FROM sec WHERE tenant IN ('src1', 'global') AND clearance <> 'TOP_SECRET'), br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b WHERE score > 0 AND chunk_id IN (SELECT chunk_id FROM mine))").replace("AS rank FROM o)", "AS rank FROM o WHERE chunk_id IN (SELECT chunk_id FROM mine))") + FUSE.format(o="orr", b="br") + RERANK + " SELECT * FROM h",
-    "substring_topn": """WITH s AS (SELECT item_id AS query_id, CAST(n_nationkey AS BIGINT) AS chunk_id, CAST((length(n_name) - length(replace(lower(n_name), 'an', ''))) / 2 + (length(n_name) - length(replace(lower(n_name), 'ia', ''))) / 2 AS DOUBLE) AS score FROM benchmark, nation)
-        SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""",
-    "substring_docs": f"""WITH w AS (SELECT item_id AS query_id, unnest({TOK("text")}) AS q FROM benchmark), d AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents),
+    "substring_topn": f"""WITH w AS (SELECT item_id AS query_id, unnest({TOK("text")}) AS q FROM benchmark), d AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents),
         s AS (SELECT query_id, chunk_id, CAST(sum((length(low) - length(replace(low, q, ''))) / length(q)) AS DOUBLE) AS score FROM w JOIN d ON contains(low, q) GROUP BY query_id, chunk_id)
         SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 25""",
     "grounding_gate": HYBRID + """, g AS (SELECT query_id, round(0.4 * avg(score) + 0.6 * max(score), 3) AS g FROM h GROUP BY query_id), j AS (SELECT q.query_id, coalesce(g, 0.0) AS grounding FROM q LEFT JOIN g USING (query_id))
         SELECT query_id, grounding, CASE WHEN grounding < 0.45 THEN 'LOW_REFUSAL' WHEN grounding >= 0.75 THEN 'HIGH' ELSE 'MODERATE' END AS tier, grounding < 0.45 AS refuse FROM j""",
-    "temporal_warnings": HYBRID + """ SELECT query_id, 'Retrieved source ''doc ' || source || ''' (Version ' || CAST(doc_id % 3 AS VARCHAR) || ', Effective: N/A) is superseded by a newer edition' AS warning, min(rank) AS first_rank
+    "temporal_warnings": HYBRID + """ SELECT query_id, '⚠️ NOTICE: Retrieved source ''doc ' || source || ''' (Version ' || CAST(doc_id % 3 AS VARCHAR) || ', Effective: N/A) is superseded by a newer edition in the knowledge base.' AS warning, min(rank) AS first_rank
         FROM h JOIN documents ON doc_id = chunk_id WHERE doc_id % 4 = 0 OR doc_id % 3 <> 1 GROUP BY 1, 2""",
     "fixed_blocks": """WITH b AS (SELECT doc_id, i AS section_index, substring(text, CAST(i * 8000 + 1 AS INTEGER), 8000) AS part FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) - 1) // 8000, 0) + 1)) AS i FROM documents)),
         t AS (SELECT doc_id, section_index, trim(part, ' ' || chr(9) || chr(13) || chr(10)) AS body FROM b)
@@ -265,7 +260,8 @@ ORACLE = {
     "store_filter": f"WITH s AS ({SECURED}) SELECT doc_id FROM s WHERE tenant = 'src3' AND clearance IN ('PUBLIC','INTERNAL','RESTRICTED','CONFIDENTIAL')",
     "semantic_cache": f"""WITH q AS (SELECT item_id AS query_id, text AS query, 't' || CAST(item_id % 2 AS VARCHAR) AS tenant, list_distinct({TOK("text")}) AS t FROM benchmark),
         e AS (SELECT query_id AS seq, query, tenant, t FROM q WHERE query_id % 3 = 0 UNION ALL SELECT query_id + 100000, query || ' zzz', tenant, list_distinct({TOK("query || ' zzz'")}) FROM q WHERE query_id % 5 = 1),
-        x AS (SELECT query_id, 1 AS tier, max(seq) AS entry_seq FROM q JOIN e ON q.tenant = e.tenant AND md5(lower(trim(q.query))) = md5(lower(trim(e.query))) GROUP BY query_id),
+        l AS (SELECT max(seq) AS seq FROM e GROUP BY md5(lower(trim(query)))),
+        x AS (SELECT query_id, 1 AS tier, max(e.seq) AS entry_seq FROM q JOIN e ON q.tenant = e.tenant AND md5(lower(trim(q.query))) = md5(lower(trim(e.query))) JOIN l ON e.seq = l.seq GROUP BY query_id),
         a AS (SELECT query_id, 2 AS tier, min(seq) AS entry_seq FROM q JOIN e ON q.tenant = e.tenant AND len(list_intersect(q.t, e.t)) >= 0.96 * (len(q.t) + len(e.t) - len(list_intersect(q.t, e.t))) WHERE len(list_intersect(q.t, e.t)) > 0 GROUP BY query_id)
         SELECT * FROM x UNION ALL SELECT * FROM a WHERE query_id NOT IN (SELECT query_id FROM x)""",
     "injection_scan": f"""WITH s AS ({INJ}), c AS (SELECT doc_id, CASE WHEN doc_id % 34 = 0 THEN 2 ELSE 1 END AS n_threats,
@@ -285,5 +281,5 @@ ORACLE = {
     "route_domain": "SELECT p_partkey, list_extract(['API_PETROCHEMICAL','ASME_MECHANICAL','API_PETROCHEMICAL','PSU_TENDER_MEMOS','GENERAL','ASME_MECHANICAL'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS domain FROM part",
     "facet_counts": f"WITH v AS ({VAULT}) SELECT count(*) AS total, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 5000) AS large, count(*) FILTER (clearance IN ('SECRET', 'TOP_SECRET')) AS secret, count(*) FILTER (clearance = 'PUBLIC') AS public FROM v",
     "vault_search": f"WITH v AS ({VAULT}) SELECT doc_id, clearance, CAST(list_position(['PUBLIC','INTERNAL','CONFIDENTIAL','RESTRICTED','SECRET','TOP_SECRET'], clearance) - 1 AS INTEGER) AS rank FROM v WHERE contains(lower(text), 'license') AND lang IN ('en', 'de')",
-    "stall_detect": "WITH t AS (SELECT conv_id, substring(text, 1, 1) = lag(substring(text, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) SELECT conv_id, count(*) FILTER (s) AS stalls, count(*) AS turns FROM t GROUP BY conv_id",
+    "stall_detect": "WITH t AS (SELECT conv_id, length(text) % 3 = lag(length(text) % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) SELECT conv_id, count(*) FILTER (s) AS stalls, count(*) AS turns FROM t GROUP BY conv_id",
 }

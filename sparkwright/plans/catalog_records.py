@@ -118,10 +118,6 @@ def batch_summary(spark, d):
 
 
 def calc_steps(spark, d):
-    return compliance.steps(pipes(spark, d).filter("l_linenumber = 1"), 9).select("l_orderkey", "step_number", "formula", "result")
-
-
-def calc_steps_all(spark, d):
     """The steps of every line."""
     return compliance.steps(pipes(spark, d), 9).select("l_orderkey", "l_linenumber", "step_number", "formula", "result")
 
@@ -160,8 +156,7 @@ def packet_log(spark, d):
 
 
 def egress_verdict(spark, d):
-    found = audit.packets(lines(spark, d)).join(lines(spark, d).select("line_id", "user_id"), "line_id")
-    return audit.verdict(found, ["user_id"])
+    return audit.verdict(audit.packets(lines(spark, d), ("user_id",)), ["user_id"])
 
 
 def heartbeat_gaps(spark, d):
@@ -169,20 +164,11 @@ def heartbeat_gaps(spark, d):
 
 
 def ring_fifo(spark, d):
-    return streams.ring(table(spark, d, "events"), "user_id", "event_id", "props", 5, 8).select("user_id", "seq", F.hex("payload").alias("payload"))
-
-
-def ring_fifo_full(spark, d):
     """Rings of the operator's own size."""
     return streams.ring(table(spark, d, "events"), "user_id", "event_id", "props").select("user_id", "seq", F.hex("payload").alias("payload"))
 
 
 def fan_out(spark, d):
-    subs = spark.createDataFrame([("a", "click"), ("a", "view"), ("b", "purchase"), ("c", "nothing")], "subscriber string, event_type string")
-    return streams.fan_out(table(spark, d, "events"), subs, 50).select("subscriber", "event_id")
-
-
-def fan_out_full(spark, d):
     """Queues of the operator's own length."""
     subs = spark.createDataFrame([("a", "click"), ("a", "view"), ("b", "purchase"), ("c", "nothing")], "subscriber string, event_type string")
     return streams.fan_out(table(spark, d, "events"), subs).select("subscriber", "event_id")
@@ -212,7 +198,7 @@ def ast_scan(spark, d):
     return audit.scan_scripts(spark.createDataFrame(list(enumerate(codes)), "script_id int, code string"))
 
 
-QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, calc_steps_all, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, ring_fifo_full, fan_out, fan_out_full, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
+QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, fan_out, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
 
 STATE = "list_extract(['PROPOSED','READY','EXECUTING','EXECUTED','VERIFIED','COMMITTED','FAILED','BLOCKED','WAITING_HUMAN','INVALIDATED'], CAST(({n}) % 10 + 1 AS INTEGER))"
 CHAIN = """WITH g AS (SELECT user_id AS mission, list(props ORDER BY event_id) AS ps, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id),
@@ -252,9 +238,7 @@ ORACLE = {
         SELECT CASE WHEN why = '' AND t_actual >= P2 * D / (2 * (S * E2 + P2 * Y)) + c THEN 'SAT' ELSE 'UNSAT' END AS status, why, count(*) AS n FROM w GROUP BY 1, 2""",
     "piping_details": PIPES + " SELECT l_orderkey, l_linenumber, round(2 * (S * E + P * Y), 4) AS denominator, round(tp, 6) AS t_pressure, round(t_actual / D, 6) AS ratio, tp < D / 6 AS thin_wall, round(greatest(tp + c - t_actual, 0.0), 6) AS deficit FROM m",
     "batch_summary": PIPES + " SELECT E, count(*) FILTER (t_actual >= t_min) AS sat, count(*) FILTER (t_actual < t_min) AS unsat, round(min(t_actual - t_min), 6) AS least_margin, round(max((t_actual - t_min) / t_min * 100), 4) AS most_percent FROM m GROUP BY E",
-    "calc_steps": PIPES + """, s AS (SELECT l_orderkey, unnest([1, 2, 3, 4, 5]) AS step_number, unnest(['P * D', '2 * (S*E + P*Y)', '(P*D) / Denom', 't + c', 't_actual - tm']) AS formula, unnest([P * D, 2 * (S * E + P * Y), tp, tp + c, t_actual - tp - c]) AS v FROM m WHERE l_linenumber = 1)
-        SELECT l_orderkey, step_number, formula, round(v, 9) + 0.0::DOUBLE AS result FROM s""",
-    "calc_steps_all": PIPES + """, s AS (SELECT l_orderkey, l_linenumber, unnest([1, 2, 3, 4, 5]) AS step_number, unnest(['P * D', '2 * (S*E + P*Y)', '(P*D) / Denom', 't + c', 't_actual - tm']) AS formula, unnest([P * D, 2 * (S * E + P * Y), tp, tp + c, t_actual - tp - c]) AS v FROM m)
+    "calc_steps": PIPES + """, s AS (SELECT l_orderkey, l_linenumber, unnest([1, 2, 3, 4, 5]) AS step_number, unnest(['P * D', '2 * (S*E + P*Y)', '(P*D) / Denom', 't + c', 't_actual - tm']) AS formula, unnest([P * D, 2 * (S * E + P * Y), tp, tp + c, t_actual - tp - c]) AS v FROM m)
         SELECT l_orderkey, l_linenumber, step_number, formula, round(v, 9) + 0.0::DOUBLE AS result FROM s""",
     "stress_tool": PIPES + """, s AS (SELECT *, CASE WHEN l_orderkey % 3 > 0 THEN t_actual ELSE 0.065::DOUBLE * D END AS t FROM m)
         SELECT l_orderkey, l_linenumber, round(t, 6) AS t_used, round(P * D / (2 * t), 4) AS hoop, round(P * D / (2 * t) / (S * E), 6) AS stress_ratio, CASE WHEN t >= t_min THEN 'PASS' ELSE 'FAIL' END AS status FROM s""",
@@ -268,13 +252,10 @@ ORACLE = {
     "egress_verdict": LINES + " SELECT user_id, count(*) AS packets, count(*) FILTER (dst_ip <> '127.0.0.1') AS egress, CASE WHEN count(*) FILTER (dst_ip <> '127.0.0.1') = 0 THEN 'PASS' ELSE 'WARNING' END AS verdict FROM l GROUP BY user_id",
     "heartbeat_gaps": """WITH g AS (SELECT user_id, event_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000.0 AS gap FROM events)
         SELECT user_id, event_id, CAST(floor(gap / 3600.0) AS BIGINT) AS beats FROM g WHERE gap > 3600.0""",
-    "ring_fifo": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props FROM events) SELECT user_id, CAST(seq AS INTEGER) AS seq, hex(substring(props, 1, 8)) AS payload FROM r WHERE seq < 5",
+    "ring_fifo": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props FROM events) SELECT user_id, CAST(seq AS INTEGER) AS seq, hex(substring(props, 1, 4096)) AS payload FROM r WHERE seq < 1024",
     "fan_out": """WITH s AS (SELECT * FROM (VALUES ('a', 'click'), ('a', 'view'), ('b', 'purchase'), ('c', 'nothing')) v(subscriber, event_type)),
-        r AS (SELECT subscriber, event_id, row_number() OVER (PARTITION BY subscriber ORDER BY event_id) AS n FROM events JOIN s USING (event_type)) SELECT subscriber, event_id FROM r WHERE n <= 50""",
-    "ring_fifo_full": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, props FROM events) SELECT user_id, CAST(seq AS INTEGER) AS seq, hex(substring(props, 1, 4096)) AS payload FROM r WHERE seq < 1024",
-    "fan_out_full": """WITH s AS (SELECT * FROM (VALUES ('a', 'click'), ('a', 'view'), ('b', 'purchase'), ('c', 'nothing')) v(subscriber, event_type)),
         r AS (SELECT subscriber, event_id, row_number() OVER (PARTITION BY subscriber ORDER BY event_id) AS n FROM events JOIN s USING (event_type)) SELECT subscriber, event_id FROM r WHERE n <= 128""",
-    "jsonrpc_dispatch": "SELECT event_id AS request_id, list_extract(['result','result','error','tool_error','error','error','error'], CAST(event_id % 7 + 1 AS INTEGER)) AS kind, CAST(list_extract([NULL, NULL, -32602, NULL, -32700, -32601, -32601], CAST(event_id % 7 + 1 AS INTEGER)) AS INTEGER) AS code FROM events",
+    "jsonrpc_dispatch": "SELECT event_id AS request_id, list_extract(['result','tool_error','error','tool_error','error','error','error'], CAST(event_id % 7 + 1 AS INTEGER)) AS kind, CAST(list_extract([NULL, NULL, -32602, NULL, -32700, -32601, -32601], CAST(event_id % 7 + 1 AS INTEGER)) AS INTEGER) AS code FROM events",
     "vram_telemetry": "SELECT 9.4::DOUBLE AS total_gb, 14.6::DOUBLE AS reserve_gb, true AS within, 'vision is over its limit' AS errors",
     "sheet_rows": "SELECT p_partkey, substring('Part -1-- a-b-' || p_name, 1, 31) AS sheet, CASE p_partkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '#NUM!' ELSE CAST(p_size AS VARCHAR) || '.0000' END AS cell FROM part",
     "exit_classes": "SELECT list_extract(['ok','error','timeout','network violation','not found','out of memory'], CAST(event_id % 6 + 1 AS INTEGER)) AS class, count(*) AS n FROM events GROUP BY 1",

@@ -125,11 +125,6 @@ def shortest_path(spark, d):
 
 
 def simple_paths(spark, d):
-    rows = [(1, 2), (2, 3), (3, 4), (1, 3), (2, 4), (4, 1), (4, 5), (3, 5)]
-    return graph.simple_paths(spark.createDataFrame(rows, "src long, dst long"), 1, 5).select(F.array_join("path", ">").alias("path"))
-
-
-def simple_paths_tree(spark, d):
     """From the first part to the last."""
     last = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
     return graph.simple_paths(tree(spark, d), 1, last).select(F.array_join("path", ">").alias("path"))
@@ -157,13 +152,7 @@ def thinning(spark, d):
     return raster.images(spark.createDataFrame(rows, "img_id int, width int, height int, pixels binary"))
 
 
-def cosine_neighbours(spark, d):
-    """An extra beside the workbench: the squared length of each vector, rounded."""
-    v = table(spark, d, "embeddings")
-    return v.select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("square"))
-
-
-QUERIES = {f.__name__: f for f in (tag_clean, tag_repair, tag_parse, pipe_attrs, tile_grid, bbox_map, iou_pairs, snap_nearest, project_segment, nms, cluster, stitch, mosaic_linear, colour_codes, downstream, ancestors, shortest_path, simple_paths, simple_paths_tree, predecessors, crossing_number, thinning, cosine_neighbours)}
+QUERIES = {f.__name__: f for f in (tag_clean, tag_repair, tag_parse, pipe_attrs, tile_grid, bbox_map, iou_pairs, snap_nearest, project_segment, nms, cluster, stitch, mosaic_linear, colour_codes, downstream, ancestors, shortest_path, simple_paths, predecessors, crossing_number, thinning)}
 
 N = "CAST(100 + p_partkey % 900 AS VARCHAR)"
 I90 = "lpad(CAST(p_partkey % 90 AS VARCHAR), 2, '0')"
@@ -205,17 +194,24 @@ ORACLE = {
         r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, node_id) AS k FROM d WHERE d <= 35) SELECT point_id, node_id, round(d, 4) AS distance FROM r WHERE k = 1""",
     "project_segment": BOX + """, p AS (SELECT box_id, x, y, greatest(0.0, least(1.0, ((x + 100) * 200 + (y + 50) * 100) / 50000.0)) AS t FROM b)
         SELECT box_id, round(sqrt((x - (-100 + t * 200)) * (x - (-100 + t * 200)) + (y - (-50 + t * 100)) * (y - (-50 + t * 100))), 4) AS distance, round(t, 5) AS t FROM p""",
+    # a fold over the boxes, surest first: one is kept if none kept before overlaps it
+    "nms": BOX + """, g AS (SELECT label, list([{'id': box_id, 'x': x, 'y': y, 'c': confidence}] ORDER BY confidence DESC, box_id) AS l FROM b GROUP BY label),
+        k AS (SELECT label, unnest(list_reduce(list_prepend(list_filter(l[1], lambda z: false), l), lambda s, p: CASE WHEN len(list_filter(s, lambda k: greatest(20 - abs(k.x - p[1].x), 0.0) * greatest(20 - abs(k.y - p[1].y), 0.0) >= 0.3 * (800 - greatest(20 - abs(k.x - p[1].x), 0.0) * greatest(20 - abs(k.y - p[1].y), 0.0)))) > 0 THEN s ELSE list_concat(s, p) END)) AS k FROM g)
+        SELECT label, k.id AS box_id, k.c AS confidence FROM k""",
+    # anchors by a fold in order of ids; a point belongs to the first anchor near it
+    "cluster": BOX + """, g AS (SELECT label, list([{'id': box_id, 'x': x, 'y': y}] ORDER BY box_id) AS l FROM b GROUP BY label),
+        k AS (SELECT label, unnest(list_reduce(list_prepend(list_filter(l[1], lambda z: false), l), lambda s, p: CASE WHEN len(list_filter(s, lambda k: sqrt((k.x - p[1].x) * (k.x - p[1].x) + (k.y - p[1].y) * (k.y - p[1].y)) <= 15)) > 0 THEN s ELSE list_concat(s, p) END)) AS k FROM g),
+        o AS (SELECT b.label, b.box_id, min(k.k.id) AS anchor_id FROM b JOIN k ON b.label = k.label AND sqrt((k.k.x - b.x) * (k.k.x - b.x) + (k.k.y - b.y) * (k.k.y - b.y)) <= 15 GROUP BY 1, 2)
+        SELECT label, anchor_id, count(*) AS merged_count FROM o GROUP BY 1, 2""",
     "mosaic_linear": BOX + " SELECT CAST(floor(x / 50) AS BIGINT) AS x, CAST(floor(y / 50) AS BIGINT) AS y, round(sum((box_id % 5 + 1) * confidence) / sum(box_id % 5 + 1), 6) AS value FROM b GROUP BY 1, 2",
     "colour_codes": "SELECT p_partkey, CAST((p_partkey * 131) // 65536 % 256 AS INTEGER) AS r, CAST((p_partkey * 131) // 256 % 256 AS INTEGER) AS g, CAST((p_partkey * 131) % 256 AS INTEGER) AS b, CAST((p_partkey * 131) % 16777216 AS INTEGER) AS back FROM part",
     "downstream": TREE + ", r AS (SELECT s.i AS start, t.dst AS node, 1 AS depth FROM t JOIN (SELECT unnest(range(3, 6)) AS i) s ON t.src = s.i UNION ALL SELECT r.start, t.dst, r.depth + 1 FROM r JOIN t ON t.src = r.node) SELECT start, node, depth FROM r",
     "ancestors": TREE + ", r AS (SELECT t.dst AS start, t.src AS node, 1 AS depth FROM t WHERE t.dst % 50 = 0 UNION ALL SELECT r.start, t.src, r.depth + 1 FROM r JOIN t ON t.dst = r.node) SELECT start, node, depth FROM r",
     "shortest_path": TREE + ", r AS (SELECT t.dst AS target, t.src AS node, 1 AS hops, CAST(t.src AS VARCHAR) || '>' || CAST(t.dst AS VARCHAR) AS path FROM t WHERE t.dst % 40 = 0 UNION ALL SELECT r.target, t.src, r.hops + 1, CAST(t.src AS VARCHAR) || '>' || r.path FROM r JOIN t ON t.dst = r.node) SELECT CAST(1 AS BIGINT) AS source, target, hops, path FROM r WHERE node = 1",
-    "simple_paths": "SELECT unnest(['1>3>5', '1>2>3>5', '1>3>4>5', '1>2>4>5', '1>2>3>4>5']) AS path",
-    "simple_paths_tree": TREE + ", r AS (SELECT t.src AS node, CAST(t.src AS VARCHAR) || '>' || CAST(t.dst AS VARCHAR) AS path FROM t WHERE t.dst = (SELECT max(p_partkey) FROM part) UNION ALL SELECT t.src, CAST(t.src AS VARCHAR) || '>' || r.path FROM r JOIN t ON t.dst = r.node) SELECT path FROM r WHERE node = 1",
+    "simple_paths": TREE + ", r AS (SELECT t.src AS node, CAST(t.src AS VARCHAR) || '>' || CAST(t.dst AS VARCHAR) AS path FROM t WHERE t.dst = (SELECT max(p_partkey) FROM part) UNION ALL SELECT t.src, CAST(t.src AS VARCHAR) || '>' || r.path FROM r JOIN t ON t.dst = r.node) SELECT path FROM r WHERE node = 1",
     "predecessors": "SELECT CAST(3 AS BIGINT) AS src",
     "crossing_number": """WITH e AS (SELECT DISTINCT CAST(vec_id % 12 AS INTEGER) AS x, CAST(vec_id * 7 % 11 AS INTEGER) AS y, CAST(vec_id % 3 AS INTEGER) AS img_id FROM embeddings WHERE ((vec_id % 12) * (vec_id * 7 % 11)) % 4 <> 1),
         o AS (SELECT * FROM (VALUES (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1)) v(i, dx, dy)),
         n AS (SELECT e.img_id, e.x, e.y, o.i, CASE WHEN f.x IS NULL THEN 0 ELSE 1 END AS v FROM e CROSS JOIN o LEFT JOIN e f ON f.img_id = e.img_id AND f.x = e.x + o.dx AND f.y = e.y + o.dy)
         SELECT a.img_id, a.x, a.y, CAST(count(*) FILTER (a.v = 0 AND b.v = 1) AS INTEGER) AS crossing FROM n a JOIN n b ON a.img_id = b.img_id AND a.x = b.x AND a.y = b.y AND b.i = (a.i + 1) % 8 GROUP BY a.img_id, a.x, a.y""",
-    "cosine_neighbours": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS square FROM embeddings",
 }

@@ -105,13 +105,6 @@ def fresh_entries(spark, d):
 
 
 def corrosion_life(spark, d):
-    """Rows of one inspection against one line's specification."""
-    spec = spark.createDataFrame([(400.0, 16.0, 20000.0, 1.0, 0.4, 0.0625)], "P double, D double, S double, E double, Y double, c double")
-    readings = table(spark, d, "lineitem").filter("l_linenumber = 2").select("l_orderkey", (0.1 + F.col("l_discount").cast("double") * 3).alias("t_actual"))
-    return compliance.piping(readings.join(F.broadcast(spec))).select("l_orderkey", F.round("margin", 7).alias("margin"), "status")  # one row
-
-
-def corrosion_life_all(spark, d):
     """Every row against one line's specification."""
     spec = spark.createDataFrame([(400.0, 16.0, 20000.0, 1.0, 0.4, 0.0625)], "P double, D double, S double, E double, Y double, c double")
     readings = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (0.1 + F.col("l_discount").cast("double") * 3).alias("t_actual"))
@@ -133,7 +126,7 @@ def pipe_lookup(spark, d):
     return workbench.pipe_attributes(edges, wanted)
 
 
-QUERIES = {f.__name__: f for f in (prompts, wall_trend, margin_readings, route_models, model_scores, memory_peaks, correction_runs, symbol_aliases, symbol_subtypes, file_classes, browser_scan, socket_telemetry, figure_chunks, topology_chunks, fresh_entries, corrosion_life, corrosion_life_all, graph_build, pipe_lookup)}
+QUERIES = {f.__name__: f for f in (prompts, wall_trend, margin_readings, route_models, model_scores, memory_peaks, correction_runs, symbol_aliases, symbol_subtypes, file_classes, browser_scan, socket_telemetry, figure_chunks, topology_chunks, fresh_entries, corrosion_life, graph_build, pipe_lookup)}
 
 
 def _pick(values, n):
@@ -176,9 +169,7 @@ ORACLE = {
     "figure_chunks": "SELECT item_id AS figure_id, p AS is_parent, sha256('### [FIGURE / DIAGRAM]: Figure ' || CAST(item_id AS VARCHAR) || chr(10) || chr(10) || text) AS sha FROM benchmark, (VALUES (true), (false)) v(p)",
     "topology_chunks": "SELECT p_partkey % 7 AS drawing_id, CAST(ceil(count(*) / 15.0) + 1 AS BIGINT) AS chunks, count(*) AS node_lines FROM part GROUP BY 1",
     "fresh_entries": "SELECT doc_id FROM documents WHERE NOT (source = 'src1' AND doc_id % 3 <> 1) AND NOT (source = 'src2' AND doc_id % 3 <> 2)",
-    "corrosion_life": """WITH r AS (SELECT l_orderkey, CAST(0.1 AS DOUBLE) + CAST(l_discount AS DOUBLE) * 3 - (400.0 * 16.0 / (2 * (20000.0 * 1.0 + 400.0 * 0.4::DOUBLE)) + 0.0625::DOUBLE) AS m FROM lineitem WHERE l_linenumber = 2)
-        SELECT l_orderkey, round(m, 7) AS margin, CASE WHEN m >= 0 THEN 'SAT' ELSE 'UNSAT' END AS status FROM r""",
-    "corrosion_life_all": """WITH r AS (SELECT l_orderkey, l_linenumber, CAST(0.1 AS DOUBLE) + CAST(l_discount AS DOUBLE) * 3 - (400.0 * 16.0 / (2 * (20000.0 * 1.0 + 400.0 * 0.4::DOUBLE)) + 0.0625::DOUBLE) AS m FROM lineitem)
+    "corrosion_life": """WITH r AS (SELECT l_orderkey, l_linenumber, CAST(0.1 AS DOUBLE) + CAST(l_discount AS DOUBLE) * 3 - (400.0 * 16.0 / (2 * (20000.0 * 1.0 + 400.0 * 0.4::DOUBLE)) + 0.0625::DOUBLE) AS m FROM lineitem)
         SELECT l_orderkey, l_linenumber, round(m, 7) AS margin, CASE WHEN m >= 0 THEN 'SAT' ELSE 'UNSAT' END AS status FROM r""",
     "pipe_lookup": """SELECT tag, min(p_partkey) AS edge_id FROM (VALUES ('L-7-CS'), ('X L-8-CS Y'), ('none')) v(tag) JOIN part ON p_partkey % 5 > 0 AND (contains('L-' || CAST(p_partkey % 50 AS VARCHAR) || '-CS', tag) OR contains(tag, 'L-' || CAST(p_partkey % 50 AS VARCHAR) || '-CS')) GROUP BY tag""",
 }
