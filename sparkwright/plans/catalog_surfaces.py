@@ -324,6 +324,16 @@ def index_search(spark, d):
     return retrieval.index_search(docs, v, q, near, F.col("lang") == "en").select("query_id", "chunk_id", "rank")
 
 
+def line_attributes(spark, d):
+    """The attributes of every fiftieth line, every other one of them unknown to the graph, among all edges."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    attributes = F.create_map(F.lit("pipe_size"), F.when(k % 2 == 0, k.cast("double")), F.lit("P"), F.when(k % 3 == 0, F.lit(99.0)), F.lit("t_actual"), F.when(k % 5 == 0, F.lit(0.5)))
+    edges = p.select(k.alias("edge_id"), F.format_string('%d"-CW-%d-CS-300', k % 20 + 1, k + 100).alias("edge_tag"), attributes.alias("attributes"))
+    wanted = p.filter("p_partkey % 50 = 0").select(F.when(k % 100 == 0, F.format_string('%d"-CW-%d-CS-300', k % 20 + 1, k + 100)).otherwise(F.format_string('%d"-XX-%d-CS-300', k % 20 + 1, k + 100)).alias("tag"))
+    return workbench.line_attributes(edges, wanted)
+
+
 def trust_pairs(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 50).alias("belief"), pick(planning.PROOFS, F.col("p_partkey")).alias("proof"))
     return p.select("p_partkey", planning.trusted(F.col("belief"), F.col("proof")).alias("committed"))
@@ -357,7 +367,7 @@ def canonical_json(spark, d):
 QUERIES = {f.__name__: f for f in (
     evaluate_rows, exact_tool, native_tool, browser_fallback, script_defaults, symbolic_calc, pipe_trace, vessel_trace, rational_minimum, wall_projection, tool_calls, jsonrpc_bodies, memo_defaults, cache_versions, refusals, warning_lists,
     adapter_swaps, named_sessions, vault_orders, vault_listing, equipment_counts, metadata_defaults, parent_join, patch_points, mask_centroids, tent_mosaic, connected_parts, cascade_units, missing_tags, resolve_nodes, sweep_units,
-    override_units, first_ready, output_verdicts, subnet_checks, socket_verdicts, telemetry_order, live_vram, subscriber_sessions, sheet_widths, vault_trail, cosine_neighbours, index_search, trust_pairs, plan_edits, page_forms, canonical_json,
+    override_units, first_ready, output_verdicts, subnet_checks, socket_verdicts, telemetry_order, live_vram, subscriber_sessions, sheet_widths, vault_trail, cosine_neighbours, index_search, line_attributes, trust_pairs, plan_edits, page_forms, canonical_json,
 )}
 
 GOOD = "CASE WHEN P > 0 AND D > 0 AND S > 0 AND E > 0 AND E <= 1 AND t > 0 THEN P * D / (2 * (S * E + P * Y)) + c END"
@@ -478,6 +488,10 @@ ORACLE = {
         nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 25),
         u AS (SELECT query_id, chunk_id, rank, 0 AS side FROM nr UNION ALL SELECT query_id, chunk_id, rank, 1 FROM br), fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(side * 1000 + rank) AS first FROM u GROUP BY 1, 2)
         SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM fu) WHERE rank <= 25""",
+    "line_attributes": """WITH k AS (SELECT p_partkey AS k, p_partkey % 100 = 0 AS known FROM part WHERE p_partkey % 50 = 0)
+        SELECT CAST(k % 20 + 1 AS VARCHAR) || CASE WHEN known THEN '"-CW-' ELSE '"-XX-' END || CAST(k + 100 AS VARCHAR) || '-CS-300' AS tag, CASE WHEN known THEN k ELSE k % 20 + 1 END::DOUBLE AS outside_diameter,
+        CASE WHEN known AND k % 3 = 0 THEN 99.0 ELSE CASE k + 100 WHEN 150 THEN 285.0 WHEN 400 THEN 985.0 WHEN 600 THEN 1480.0 WHEN 900 THEN 2220.0 WHEN 1500 THEN 3705.0 WHEN 2500 THEN 6170.0 ELSE 740.0 END END::DOUBLE AS design_pressure,
+        CASE WHEN known THEN 0.5 ELSE 0.375 END::DOUBLE AS measured_thickness FROM k""",
     "trust_pairs": "SELECT p_partkey, p_size / 50.0::DOUBLE >= 0.85::DOUBLE AND p_partkey % 3 = 0 AS committed FROM part",
     "plan_edits": "WITH RECURSIVE edges AS (SELECT CASE WHEN p_partkey = 9 THEN 5 ELSE p_partkey // 2 END AS src, p_partkey AS dst FROM part WHERE p_partkey > 1), starts AS (SELECT 5 AS id), " + RECURSE + """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 AND p_size <= 25 THEN 'PRUNED' WHEN p_partkey IN (SELECT node FROM r) THEN 'PROPOSED' ELSE 'READY' END AS status, CAST(2 AS INTEGER) AS version FROM part""",
