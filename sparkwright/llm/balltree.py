@@ -1,19 +1,24 @@
 """Exact top-k inner products over shards, each with a ball tree searched by branch and bound.
 
-The best score that a ball (centre c, radius r) can hold for a query q is q.c + |q| r. A query takes the leaves of a shard
-by falling bound and stops at its first bound below its current k-th score. Queries first search the shard of their own
-key; the k-th score found there goes with them to all other shards, where it prunes from the start. Scores are whole
-numbers and exact while below 2**53; the bounds carry a margin for their rounding, so no tie is lost.
+The best score that a ball (centre c, radius r) can hold for a query q is q.c + |q| r. A batch of queries first lets each
+query go down to the leaf of the highest bound; then a heap gives the nodes by falling bound, and each is entered only for
+the queries whose k-th score of that moment its bound reaches. Queries first search the shard of their own key; the k-th
+score found there goes with them to all other shards, where it prunes from the start.
+
+Scores are whole numbers and exact while below 2**63 in size (products of doubles below 2**53, of 64-bit integers above);
+vectors whose scores could be larger raise an error. The bounds carry a margin for their rounding, so no tie is lost.
 
 A query sends at most k rows from each shard to the last step, a window over its own rows.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of different
 lengths do not meet; ties go to the smaller id; rows that share the query's id are no candidates; other repeated rows
-count each; an empty table gives an empty table; other columns are not read.
+count each; queries of one id are one query, that with the smallest vector; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ LEAF = 256
 SHARD, SHARDS = 200_000, 12
 #: Queries that are searched together.
 TOGETHER = 1024
+#: A score that none has.
+NONE = np.iinfo(np.int64).min
 
 
 class BallTree:
@@ -35,6 +42,7 @@ class BallTree:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.rows = np.arange(len(ids))
+        self.longest = float(np.sqrt((self.x**2).sum(axis=1).max()))
         self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []  # centre, radius, first row, end, children
         self._grow(0, len(ids), leaf)
 
@@ -56,48 +64,67 @@ class BallTree:
     def search(self, ids: np.ndarray, q: np.ndarray, known: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query's place, candidate's id, score) of up to k best candidates each that reach the score already known."""
         norm = np.sqrt((q**2).sum(axis=1))
-        leaves, bounds, todo = [], [], [(0, np.arange(len(q)))]
-        while todo:
-            at, active = todo.pop()
-            centre, radius, _, _, left, right = self.nodes[at]
-            top = q[active] @ centre + norm[active] * radius
-            top += 1e-9 * np.abs(top) + 1e-6
-            keep = top >= known[active]
-            active, top = active[keep], top[keep]
-            if len(active) and left < 0:
-                column = np.full(len(q), -np.inf)
-                column[active] = top
-                leaves.append(at)
-                bounds.append(column)
-            elif len(active):
-                todo += [(left, active), (right, active)]
-        if not leaves:
-            return
-        bound = np.stack(bounds, axis=1)
-        order = np.argsort(-bound, axis=1)
-        n = len(self.ids)
-        best = np.full((len(q), k), np.iinfo(np.int64).min)  # score * n - row, so that one comparison orders score and then id
+        largest = float(norm.max()) * self.longest
+        if largest >= 2.0**63:
+            raise ValueError("scores of 2**63 or more cannot be told exactly")
+        wide = largest >= 2.0**53
+        scores, rows_of = np.full((len(q), k), NONE), np.full((len(q), k), len(self.ids))
         least = known.copy()
-        for step in range(len(leaves)):
-            leaf = order[:, step]
-            active = np.flatnonzero((bound[np.arange(len(q)), leaf] >= least) & (bound[np.arange(len(q)), leaf] > -np.inf))
-            if not len(active):
-                break
-            groups = active[np.argsort(leaf[active], kind="stable")]
-            for own in np.split(groups, np.flatnonzero(np.diff(leaf[groups])) + 1):
-                _, _, first, end, _, _ = self.nodes[leaves[leaf[own[0]]]]
-                rows = self.rows[first:end]
-                score = np.rint(q[own] @ self.x[rows].T).astype(np.int64)
-                key = score * n - rows
-                key[self.ids[rows][None, :] == ids[own][:, None]] = np.iinfo(np.int64).min
-                key[score < least[own][:, None]] = np.iinfo(np.int64).min
-                both = np.concatenate((best[own], key), axis=1)
-                best[own] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                full = best[own].min(axis=1)
-                least[own] = np.maximum(least[own], np.where(full > np.iinfo(np.int64).min, -(-full // n), -np.inf))
-        where, column = np.nonzero(best > np.iinfo(np.int64).min)
-        score = -(-best[where, column] // n)
-        yield where, self.ids[score * n - best[where, column]], score
+
+        def bound(at: int, some: np.ndarray) -> np.ndarray:
+            centre, radius = self.nodes[at][:2]
+            top = q[some] @ centre + norm[some] * radius
+            return top + 1e-9 * np.abs(top) + 1e-6
+
+        def scan(at: int, some: np.ndarray) -> None:
+            rows = self.rows[self.nodes[at][2] : self.nodes[at][3]]
+            held = self.x[rows]
+            score = q[some].astype(np.int64) @ held.astype(np.int64).T if wide else np.rint(q[some] @ held.T).astype(np.int64)
+            asks, found = np.nonzero((score >= least[some][:, None]) & (self.ids[rows][None, :] != ids[some][:, None]))
+            if not len(asks):
+                return
+            own = some[np.unique(asks)]
+            held_by, held_at = np.nonzero(scores[own] > NONE)
+            who = np.concatenate((np.searchsorted(own, some[asks]), held_by))
+            what = np.concatenate((rows[found], rows_of[own][held_by, held_at]))
+            how = np.concatenate((score[asks, found], scores[own][held_by, held_at]))
+            order = np.lexsort((what, -how, who))
+            who = who[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            best = rank < k
+            scores[own[who[best]], rank[best]], rows_of[own[who[best]], rank[best]] = how[order][best], what[order][best]
+            least[own] = np.maximum(least[own], scores[own, k - 1])
+
+        place, deeper, home = np.zeros(len(q), np.int64), np.arange(len(q)), np.zeros(len(q), np.int64)
+        while len(deeper):  # each to the leaf of the highest bound
+            for at in np.unique(place[deeper]).tolist():
+                some = deeper[place[deeper] == at]
+                left, right = self.nodes[at][4:]
+                home[some] = at
+                place[some] = -1 if left < 0 else np.where(bound(left, some) >= bound(right, some), left, right)
+            deeper = deeper[place[deeper] >= 0]
+        for at in np.unique(home).tolist():
+            some = np.flatnonzero(home == at)
+            scan(at, some[bound(at, some) >= least[some]])
+        everyone = np.arange(len(q))
+        heap = [(-np.inf, 0, everyone, bound(0, everyone))]
+        while heap:
+            _, at, some, top = heapq.heappop(heap)
+            keep = top >= least[some]
+            some = some[keep]
+            left, right = self.nodes[at][4:]
+            if left < 0:
+                some = some[home[some] != at]
+                if len(some):
+                    scan(at, some)
+                continue
+            for child in (left, right):
+                top = bound(child, some)
+                keep = top >= least[some]
+                if keep.any():
+                    heapq.heappush(heap, (-float(top[keep].max()), child, some[keep], top[keep]))
+        where, column = np.nonzero(scores > NONE)
+        yield where, self.ids[rows_of[where, column]], scores[where, column]
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -146,16 +173,16 @@ def _searches(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query; vectors of whole numbers in both frames."""
-    index, asked = valid(vectors, key, vector), valid(queries, key, vector)
+    index, asked = valid(vectors, key, vector), valid(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
     shards = shards or max(SHARDS, -(-index.count() // SHARD))
     place = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     schema = "query_id long, vec_id long, score long"
-    index = index.select(place.alias("shard"), "id", "v", F.lit(float("-inf")).alias("known"))
-    home = asked.select(place.alias("shard"), "id", "v", F.lit(float("-inf")).alias("known"))
+    index = index.select(place.alias("shard"), "id", "v", F.lit(NONE).cast("long").alias("known"))
+    home = asked.select(place.alias("shard"), "id", "v", F.lit(NONE).cast("long").alias("known"))
     own = index.withColumn("role", F.lit(0)).unionByName(home.withColumn("role", F.lit(1))).repartitionById(shards, F.col("shard")).sortWithinPartitions("role")
     first = materialise(own.mapInArrow(_searches(k), schema), "home")
-    least = first.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "least")
-    away = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("known"), place.alias("home"))
+    least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "least")
+    away = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", F.coalesce("least", F.lit(NONE).cast("long")).alias("known"), place.alias("home"))
     far = shard_stream(index.withColumn("home", F.lit(-1)), away, shards, _searches(k), schema, "home")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
