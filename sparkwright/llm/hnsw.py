@@ -4,8 +4,9 @@ Equal vectors are one from the start. A shard orders its vectors by falling leve
 them, and inserts them in batches: a beam search for the batch finds candidates, a spread-out choice of them becomes the
 links, and full link lists are chosen anew. Searches keep the best ``beam`` vectors of each query and expand those not
 yet expanded. A query whose whole beam is linked asks again with twice the beam; after each batch an audit compares some
-of its queries with brute force over the shard, and while the share of links found is below ``recall``, the beam of the
-whole batch doubles, at most up to the shard's size. Every pair is confirmed by its cosine in double precision.
+of its queries with brute force over the shard, those with no, few and many links apart and each query alike. While the mean
+share of links found is below ``recall`` for any of the three, the beam of the whole batch doubles; past the shard's size the
+batch is compared with the whole shard, in blocks. Every pair is confirmed by its cosine in double precision.
 
 A shard returns the number of links of each query and, of the links themselves, a spanning forest of its own.
 
@@ -31,8 +32,8 @@ from sparkwright.llm.shared import components, materialise, shard_stream
 SHARD, SHARDS = 200_000, 12
 #: Links of a vector above and on the lowest layer; beams while building and while searching; vectors inserted together.
 LINKS, LOWEST, BUILD, BEAM, TOGETHER = 12, 24, 40, 32, 256
-#: Vectors that a search expands at once, and queries that an audit takes from a batch.
-WIDTH, AUDIT = 4, 128
+#: Vectors that a search expands at once, twice the queries that an audit takes of each kind, and links that are many.
+WIDTH, AUDIT, FEW = 4, 128, 8
 NONE = -np.inf
 
 
@@ -187,10 +188,13 @@ class Graph:
         beam = BEAM
         while True:
             found = self.near(q, least, beam)
-            linked = np.array([len(f) > 1 for f in found])
-            some = np.concatenate((np.flatnonzero(linked)[:: max(1, int(linked.sum()) // (AUDIT // 2))], np.flatnonzero(~linked)[:: max(1, int((~linked).sum()) // (AUDIT // 2))]))
-            true = (q[some] @ self.exact.T >= least).sum()
-            if sum(len(found[i]) for i in some) >= recall * true:
+            n = np.array([len(f) for f in found])
+            good = True
+            for own in (n < 2, (n >= 2) & (n < FEW), n >= FEW):  # a vector finds itself in its own shard
+                some = np.flatnonzero(own)[:: max(1, int(own.sum()) // (AUDIT // 2))]
+                true = (q[some] @ self.exact.T >= least).sum(axis=1)
+                good &= not len(some) or float((n[some] / np.maximum(true, n[some]).clip(1))[true > 0].sum()) >= recall * (true > 0).sum()
+            if good:
                 return found
             if beam >= self.sizes[0]:
                 return self.scanned(q, least)  # no beam reaches nodes without links to them
@@ -202,6 +206,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
+def find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _links(least: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -220,7 +231,7 @@ def _links(least: float, recall: float):
                 for d, parts in held.items():
                     v, i, c = (np.concatenate(z) for z in zip(*parts, strict=True))
                     g = Graph(v)
-                    graphs[d] = g, i[g.order], c[g.order], np.arange(len(i))
+                    graphs[d] = g, i[g.order], c[g.order], list(range(len(i)))
             for rows, x in found:
                 asks = role[rows] == 1
                 if not asks.any() or x.shape[1] not in graphs:
@@ -231,11 +242,12 @@ def _links(least: float, recall: float):
                 for q, hit in zip(asked.tolist(), g.audited(_unit(x[asks]), least, recall), strict=True):
                     hit = hit[known[hit] != q]
                     if len(hit):
-                        out.append((q, int(count[hit].sum()), int(known[hit[0]])))
-                        for r in np.unique(root[hit]):
-                            if r != root[hit[0]]:
-                                out.append((q, 0, int(known[hit[root[hit] == r][0]])))
-                                root[root == r] = root[hit[0]]
+                        first, n = find(root, int(hit[0])), int(count[hit].sum())
+                        out.append((q, n, int(known[hit[0]])))
+                        for at in hit.tolist():  # the others only where the forest lacks them
+                            if (r := find(root, at)) != first:
+                                out.append((q, 0, int(known[at])))
+                                root[r] = first
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "n", "b"])
 
@@ -245,11 +257,14 @@ def _links(least: float, recall: float):
 def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.98, key: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     some = valid(vectors, key, vector).filter(F.exists("v", lambda x: x != 0))
-    alike = materialise(some.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # equal vectors by two hashes, so that only one of them travels, and none in the join below
+    some = some.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), F.reverse("v"))})
+    alike = materialise(some.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")), "vectors")
     shards = shards or max(SHARDS, -(-alike.count() // SHARD))
     place = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
-    found = materialise(shard_stream(alike.withColumn("shard", place), alike, shards, _links(least, recall), "a long, n long, b long"), "links")
-    own = some.join(alike.select("v", F.col("id").alias("first"), "copies"), "v").select("id", "first", (F.col("copies") - 1).alias("n"))
+    nodes = alike.select("id", "copies", "v")
+    found = materialise(shard_stream(nodes.withColumn("shard", place), nodes, shards, _links(least, recall), "a long, n long, b long"), "links")
+    own = some.select("id", "h", "g").join(alike.select("h", "g", F.col("id").alias("first"), "copies"), ["h", "g"]).select("id", "first", (F.col("copies") - 1).alias("n"))
     counts = found.groupBy("a").agg(F.sum("n").alias("more"))
     per = own.join(counts, F.col("first") == F.col("a"), "left").groupBy("id").agg(F.sum(F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"))
     edges = found.select("a", "b").unionByName(own.select(F.col("id").alias("a"), F.col("first").alias("b")))
