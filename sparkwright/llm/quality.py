@@ -8,7 +8,8 @@ factors that are made once, with the log determinants and the labels' shares), d
 
 Defined cases: null text counts as empty and gets a score like any other; without a label row of either kind the score
 is the share of label 1 among the labelled rows, and 1 without any; labels that are null or belong to no row count
-nothing; repeated rows count each time; an empty table gives an empty table; other columns have no effect.
+nothing; repeated rows count each time; texts of any length are read whole, in steps, and need memory for their words (some
+14 bytes for each byte), not for their bytes' classes; an empty table gives an empty table; other columns have no effect.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.bytewords import SPACES, U, buffers, mix, parts, words
-from sparkwright.llm.shared import materialise
+from sparkwright.llm.bytewords import SPACES, STEP, U, buffers, mix, parts, words
+from sparkwright.llm.shared import materialise, maybe_among
 
 FEATURES = (
     "words", "word_length", "upper", "digits", "foreign", "stops", "symbols", "breaks", "repeats", "top_word",
     "doubled", "capitals", "odd_ends", "lone_symbols", "short_words", "pair_repeats", "lines", "line_repeats",
 )
 #: Classes of bytes: 0 lower, 1 upper, 2 digit, 3 non-ASCII, 4 full stop or comma, 5 other ASCII, 6 line break, 7 other white space.
-CLASS = np.array([3 if b > 127 else 6 if b == 10 else 7 if SPACES[b] else 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 4 if b in b".," else 5 for b in range(256)])
+CLASS = np.array([3 if b > 127 else 6 if b == 10 else 7 if SPACES[b] else 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 4 if b in b".," else 5 for b in range(256)], np.uint8)
 #: Shares are taken as if so many more words, or bytes times six, of common prose were there, so that a few words tell little.
 PRIOR = 8
 SAME = np.arange(256, dtype=np.uint8)
@@ -50,23 +51,41 @@ def _spread(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bincount(of, minlength=n), top
 
 
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of each class in each row, and the first and the last byte of every word, in steps of a bounded size."""
+    n = len(offsets) - 1
+    per, begin, end = np.zeros(n * 8), [], []
+    starts = offsets[:-1]
+    for a in range(0, len(data), STEP):
+        b = min(a + STEP, len(data))
+        kind = CLASS[data[max(a - 1, 0) : b + 1]]
+        inside = kind < 6
+        if not a:
+            kind, inside = np.insert(kind, 0, 7), np.insert(inside, 0, False)
+        if b == len(data):
+            inside = np.append(inside, False)
+        own, before, after = inside[1:-1], inside[:-2].copy(), inside[2:].copy()
+        some = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b + 1)]  # rows begin here, so words do not go on
+        before[some[some < b] - a] = False
+        after[some[some > a] - a - 1] = False
+        begin.append(np.flatnonzero(own & ~before) + a)
+        end.append(np.flatnonzero(own & ~after) + a)
+        low, high = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
+        owner = np.repeat(np.arange(low, high), np.diff(np.clip(offsets[low : high + 1], a, b)))
+        per[low * 8 : high * 8] += np.bincount((owner - low) * 8 + kind[1 : b - a + 1], minlength=(high - low) * 8)
+    none = np.zeros(0, np.int64)
+    return per.reshape(n, 8), np.concatenate([none, *begin]), np.concatenate([none, *end])
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text."""
     data, offsets = buffers(texts)
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    kind = CLASS[data]
-    owner = np.repeat(np.arange(n), sizes)
-    per = np.bincount(owner * 8 + kind, minlength=n * 8).reshape(n, 8).astype(float)
-    inside = kind < 6
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
-    first[edge] = inside[edge]
-    last[edge - 1] = inside[edge - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    at = owner[begin]
+    per, begin, end = _edges(data, offsets)
+    at = np.searchsorted(offsets, begin, "right") - 1
     count = np.bincount(at, minlength=n).astype(float)
+    head, tail, length = CLASS[data[begin]], CLASS[data[end]], end - begin + 1
+    del begin, end
 
     def rate(found: np.ndarray, usual: float, of: np.ndarray = count, each: int = 1) -> np.ndarray:
         return np.sqrt((found + PRIOR * each * usual) / (of + PRIOR * each))
@@ -74,7 +93,6 @@ def features(texts: pa.Array) -> np.ndarray:
     def share(mask: np.ndarray, usual: float) -> np.ndarray:
         return rate(np.bincount(at[mask], minlength=n), usual)
 
-    length = end - begin + 1
     hashes, rows = words(data, offsets, SAME)
     distinct, top = _spread(hashes, rows)
     same = np.zeros(len(hashes), bool)
@@ -89,7 +107,7 @@ def features(texts: pa.Array) -> np.ndarray:
     columns = [
         np.log1p(count), np.log1p((per[:, :6].sum(axis=1) + PRIOR * 5.5) / (count + PRIOR)), rate(per[:, 1], 0.03, letters, 6), rate(per[:, 2], 0, sizes, 6), rate(per[:, 3], 0.03, sizes, 6), rate(per[:, 4], 0.18),
         rate(per[:, 5], 0, sizes, 6), rate(per[:, 6], 0.02), np.log1p(count) - np.log1p(distinct), rate(np.maximum(top - 1, 0), 0.05),
-        share(same, 0), share(kind[begin] == 1, 0.12), share(kind[end] == 5, 0), share((length == 1) & (kind[begin] == 5), 0), share(length <= 3, 0.35), np.log1p(count) - np.log1p(pairs), np.log1p(total), np.log1p(total) - np.log1p(lines),
+        share(same, 0), share(head == 1, 0.12), share(tail == 5, 0), share((length == 1) & (head == 5), 0), share(length <= 3, 0.35), np.log1p(count) - np.log1p(pairs), np.log1p(total), np.log1p(total) - np.log1p(lines),
     ]
     return np.stack(columns, axis=1)
 
@@ -120,9 +138,12 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(features(part.column(1))), pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the features x of every row, kept in the shared folder."""
+def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text", labels: DataFrame | None = None) -> DataFrame:
+    """doc_id and the features x of every row, kept in the shared folder; with ``labels``, rows that surely have none are left out."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if labels is not None:
+        known = labels.select(F.col(key).cast("long").alias("doc_id")).filter(~held_out(F.col("doc_id")))
+        rows = maybe_among(rows, "doc_id", known).filter("maybe").select("row.*")
     return materialise(rows.mapInArrow(_feature_rows, "doc_id long, x array<double>"), "features")
 
 
