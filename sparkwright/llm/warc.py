@@ -6,13 +6,15 @@ reader parses the end of the file, its ZIP64 parts and the central directory, fi
 and then ranges of records.
 
 Of records with equal payloads of at least ``least`` bytes, that with the smallest key is a response and the others are
-revisits of it, without a payload. Only digests and keys are grouped to find it.
+revisits of it, without a payload. Only digests and keys are grouped to find it, and only payloads whose digest may be shared
+are shuffled to be told of it; the others go straight from their scan into a package.
 
 Packages are written under the shared folder with names of their own, so a task that runs again never meets its own
 leftovers; a table lists those of the tasks that ended well, and only they are read.
 
 Defined cases: null html is an empty payload; a null key makes a response unless a row with a key has the same payload,
-and comes back null; rows that repeat a key and its payload are responses all; an empty table gives an empty table;
+and comes back null (its record has an id of its own); rows that repeat a key and its payload are responses all, with the id of
+that key; long payloads are written whole; an empty table gives an empty table;
 other columns are not read.
 """
 
@@ -33,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import materialise, shared_dir
+from sparkwright.llm.shared import materialise, maybe_among, work_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records after which a task starts another package, and bytes of one range that is read.
@@ -49,7 +51,7 @@ def record(key: int | None, url: str | None, kind: str, digest: str, refers: int
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
+        f"WARC-Record-ID: <{f'urn:uuid:{uuid.uuid4()}' if key is None else f'urn:page:{key}'}>",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -72,7 +74,7 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(v) for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")) if k.lower() == b"content-length")
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x.startswith("<urn:page:") else None
     out = {"key": number(fields["warc-record-id"]), "kind": fields["warc-type"], "digest": fields["warc-payload-digest"].removeprefix("sha256:"), "size": size, "refers": None, "payload": payload}
     if out["kind"] == "revisit":
         out["refers"] = number(fields["warc-refers-to"])
@@ -176,7 +178,10 @@ def write(pages: DataFrame, folder: str, least: int = 100, key: str = "page_id",
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     shared = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(shared, "digest", "left").select("key", "url", "payload", "size", "digest", F.when(F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first"))), F.col("first")).alias("refers"))
+    shared = materialise(shared, "shared")
+    told = maybe_among(rows, "digest", shared)
+    alone = told.filter("NOT maybe").select("row.*").withColumn("first", F.lit(None).cast("long"))
+    rows = told.filter("maybe").select("row.*").join(shared.hint("merge"), "digest", "left").unionByName(alone).select("key", "url", "payload", "size", "digest", F.when(F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first"))), F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
@@ -202,13 +207,16 @@ def read(packages: DataFrame, folder: str, keep: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                held = []
+            for name, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held, told = [], 0
                 for r in read_package(store, f"{root}/{name}"):
+                    told += 1
                     held.append([(None if k == "payload" and r["kind"] == "revisit" else r[k]) for k in names])
                     if len(held) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=False)], names)
                         held = []
+                if told != records:
+                    raise ValueError(f"{name} has {told} records, {records} were written")
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=False)], names)
 
@@ -219,6 +227,6 @@ def read(packages: DataFrame, folder: str, keep: bool = False) -> DataFrame:
 
 def round_trip(pages: DataFrame, least: int = 100, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages, read the packages back: key, payload_bytes, payload_digest, record_type and refers_to of every row."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = work_path(pages.sparkSession, "warc")
     back = read(write(pages, folder, least, key, url, html), folder)
     return back.select(F.col("key").alias(key), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
