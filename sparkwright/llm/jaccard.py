@@ -95,9 +95,11 @@ def _described(k: int) -> Callable:
             tokens = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
             held.clear()
             tokens.sort()
-            start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))[: len(tokens)]
-            n = np.diff(np.append(start, len(tokens)))
-            tokens, n = tokens[start[n > 1]].view(np.int64), n[n > 1]
+            again = np.flatnonzero(tokens[1:] == tokens[:-1])  # most are seen once
+            first = np.ones(len(again), bool)
+            first[1:] = again[1:] != again[:-1] + 1
+            n = np.diff(np.append(np.flatnonzero(first), len(again))) + 1
+            tokens = tokens[again[first]].view(np.int64)
             return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(np.full(len(n), -1)), pa.array(tokens), pa.array(n)], names)
 
         total = 0
@@ -336,6 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     met = known.mapInArrow(_postings(k, limit, often, buckets), "bucket int, token array<long>, node array<long>, n array<int>, reach array<int>")
     met = met.repartition("bucket").select(F.inline(F.arrays_zip("token", "node", "n", "reach"))).sortWithinPartitions("token", "n")
     shared = materialise(met.mapInArrow(_shared, "token long, node long, n int, reach int, partner long"), "shared")
+    often.destroy()
     # of equal sets the first is searched for all
     member = materialise(shared.select("node").distinct().join(alike.select(F.col("p").alias("node"), "n", F.col("first").alias("doc_id")), "node"), "members")
 

@@ -32,6 +32,8 @@ def _own_dir() -> str:
     return path
 
 
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables that this session has written.
 _written: list[str] = []
 
@@ -60,7 +62,12 @@ def materialise(df: DataFrame, label: str, after: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, "8m")  # long texts in small batches: a task holds several copies of one
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if usual is None else spark.conf.set(BATCH, usual)
     while after:
         _written.remove(after[-1])
         _delete(spark, after.pop())
