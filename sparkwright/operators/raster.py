@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.operators.geometry import simplify
+from sparkwright.operators.geometry import grid_1d, simplify
 from sparkwright.operators.workbench import build_graph
 
 AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))  # rows and columns, clockwise from above
@@ -164,6 +164,29 @@ def _grey(row) -> np.ndarray:
     return np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width)
 
 
+def patches(rows: DataFrame, tile: int = 1024, overlap: int = 128, mode: str = "shift") -> DataFrame:
+    """(img_id, patch_id, x1, y1, width, height, pixels) of every image (img_id, width, height, pixels) cut by ``geometry.tiles``; 0 beyond the edges with mode ``pad``.
+
+    The tiles are told in SQL, and a task cuts the patches of its images one after another.
+    """
+    grid = [F.transform(grid_1d(F.col(side), tile, overlap, mode), lambda t: F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"))).alias(name) for side, name in (("width", "xs"), ("height", "ys"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                grey, found = _grey(r), []
+                for j, y in enumerate(r.ys):
+                    for i, x in enumerate(r.xs):
+                        cut = np.zeros((y["end"] - y["start"], x["end"] - x["start"]), np.uint8)
+                        part = grey[y["start"] : y["end"], x["start"] : x["end"]]
+                        cut[: part.shape[0], : part.shape[1]] = part
+                        found.append((r.img_id, j * len(r.xs) + i, x["start"], y["start"], cut.shape[1], cut.shape[0], cut.tobytes()))
+                yield pd.DataFrame(found, columns=["img_id", "patch_id", "x1", "y1", "width", "height", "pixels"])
+
+    told = rows.select("img_id", "width", "height", "pixels", *grid)
+    return told.mapInPandas(run, f"img_id {dict(rows.dtypes)['img_id']}, patch_id int, x1 int, y1 int, width int, height int, pixels binary")
+
+
 def traces(rows: DataFrame, epsilon: float = 1.5, least: float = 5.0) -> DataFrame:
     """(img_id, run_id, points ARRAY<STRUCT<x, y>>, reverse): the simplified lines of every image (img_id, width, height, pixels), as runs for ``workbench.build_graph``."""
 

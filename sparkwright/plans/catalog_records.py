@@ -193,9 +193,16 @@ def exit_classes(spark, d):
     return table(spark, d, "events").groupBy(audit.exit_class(code).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SCRIPTS = (
+    ("import os\nos.system('x')", 3, "line 1: import of 'os'"), ("x = 1", 0, None), ("def f(:", 1, "line 1: syntax error"), ("", 1, "line 0: empty script"), ("eval('1')", 1, "line 1: call of 'eval'"),
+    ("from urllib import request", 1, "line 1: import from 'urllib'"), ("().__class__.__bases__", 2, "line 1: use of '__bases__'"), ("print(sum([1, 2]))", 0, None), ("open('a', 'w')", 1, "line 1: open() for 'w'"),
+)
+
+
 def ast_scan(spark, d):
-    codes = ["import os\nos.system('x')", "x = 1", "def f(:", "", "eval('1')", "from urllib import request", "().__class__.__bases__", "print(sum([1, 2]))"]
-    return audit.scan_scripts(spark.createDataFrame(list(enumerate(codes)), "script_id int, code string"))
+    code = F.element_at(F.array(*[F.lit(c) for c, _, _ in SCRIPTS]), (F.col("event_id") % len(SCRIPTS) + 1).cast("int"))
+    found = audit.scan_scripts(table(spark, d, "events").select(F.col("event_id").alias("script_id"), code.alias("code")))
+    return found.select("script_id", "is_safe", F.size("findings").alias("n"), F.get("findings", F.lit(0)).alias("first"))
 
 
 QUERIES = {f.__name__: f for f in (hash_chain, chain_verify, last_hash, replay_latest, transitions_check, expired_leases, reclaim_leases, boot_sweep, ready_units, override_gate, audit_sessions, piping_verdict, piping_checks, piping_details, batch_summary, calc_steps, stress_tool, vessel_verdict, life_readings, allowable_pressure, packet_log, egress_verdict, heartbeat_gaps, ring_fifo, fan_out, jsonrpc_dispatch, vram_telemetry, sheet_rows, exit_classes, ast_scan)}
@@ -212,7 +219,10 @@ WALL = PIPES + ", w AS (SELECT l_orderkey, l_linenumber, P, t_actual, 0.1::DOUBL
 LINES = """WITH l AS (SELECT event_id AS line_id, user_id, '10:15:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || '.123456' AS time, '192.168.1.' || CAST(user_id % 250 AS VARCHAR) AS src_ip,
     CASE WHEN event_id % 3 = 0 THEN '127.0.0.1' ELSE '8.8.8.' || CAST(event_id % 9 AS VARCHAR) END AS dst_ip FROM events WHERE event_id % 11 <> 0)"""
 
+SCRIPT = lambda values: "list_extract([" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values) + f"], CAST(event_id % {len(SCRIPTS)} + 1 AS INTEGER))"
+
 ORACLE = {
+    "ast_scan": f"SELECT event_id AS script_id, {SCRIPT([n for _, n, _ in SCRIPTS])} = 0 AS is_safe, CAST({SCRIPT([n for _, n, _ in SCRIPTS])} AS INTEGER) AS n, {SCRIPT([f for _, _, f in SCRIPTS])} AS first FROM events",
     "hash_chain": CHAIN + " SELECT mission, id, hash FROM c",
     "last_hash": CHAIN + " SELECT mission, max(id) AS last_id, max_by(hash, id) AS hash FROM c GROUP BY mission",
     "chain_verify": "SELECT user_id AS mission, count(*) AS n_events, count(*) FILTER (event_id % 1000 = 7) AS n_bad, min(event_id) FILTER (event_id % 1000 = 7) AS first_bad_id FROM events GROUP BY user_id",

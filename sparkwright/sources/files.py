@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Iterable
 from io import BytesIO
+from ipaddress import ip_address
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,19 +197,30 @@ def memo(meta: dict[str, str], table: DataFrame, cites: Iterable[str]) -> bytes:
     return held.getvalue()
 
 
-def sockets(spark: SparkSession, tables: Iterable[str] = ("/proc/net/tcp",)) -> DataFrame:
-    """(seq, laddr, raddr, status) of this machine's IPv4 sockets, from the kernel's tables as the driver sees them."""
-    states = {"01": "ESTABLISHED", "0A": "LISTEN", "06": "TIME_WAIT", "08": "CLOSE_WAIT"}
+#: The kernel's tables of sockets, and its numbers of states.
+SOCKET_TABLES = ("/proc/net/tcp", "/proc/net/tcp6", "/proc/net/udp", "/proc/net/udp6")
+STATES = {"01": "ESTABLISHED", "02": "SYN_SENT", "03": "SYN_RECV", "04": "FIN_WAIT1", "05": "FIN_WAIT2", "06": "TIME_WAIT", "07": "CLOSE", "08": "CLOSE_WAIT", "09": "LAST_ACK", "0A": "LISTEN", "0B": "CLOSING"}
 
-    def address(text: str) -> str:
+
+def sockets(spark: SparkSession, tables: Iterable[str] = SOCKET_TABLES) -> DataFrame:
+    """(seq, laddr, raddr, status, remote_ip) of this machine's sockets of both address families, from the kernel's tables as the driver sees them; tables that are not there have none."""
+
+    def address(text: str) -> tuple[str, int]:
         ip, port = text.split(":")
-        return ".".join(str(int(ip[i : i + 2], 16)) for i in (6, 4, 2, 0)) + f":{int(port, 16)}"
+        words = b"".join(bytes.fromhex(ip[i : i + 8])[::-1] for i in range(0, len(ip), 8))  # each word has its bytes backwards
+        return str(ip_address(words)), int(port, 16)
 
     rows = []
     for table in tables:
-        with open(table) as f:
-            rows += [(len(rows) + i, address(p[1]), address(p[2]) if not p[2].endswith(":0000") else "-", states.get(p[3], p[3])) for i, p in enumerate(line.split() for line in f.readlines()[1:])]
-    return spark.createDataFrame(rows, "seq int, laddr string, raddr string, status string")
+        try:
+            with open(table) as f:
+                lines = f.readlines()[1:]
+        except FileNotFoundError:
+            continue
+        for p in map(str.split, lines):
+            (ip, port), (remote, far) = address(p[1]), address(p[2])
+            rows.append((len(rows), f"{ip}:{port}", f"{remote}:{far}" if far else "-", STATES.get(p[3], p[3]), remote if far else None))
+    return spark.createDataFrame(rows, "seq int, laddr string, raddr string, status string, remote_ip string")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

@@ -182,3 +182,25 @@ def test_more_command_lines(spark, tmp_path, capsys):
     (tmp_path / "b.csv").write_text("tag,P,D,t_actual\na,2.5,323.8,9.52\nb,2.5,323.8,4.5\n")
     assert main(["scan", f"{tmp_path}/s.py"]) == 1 and main(["scan", f"{tmp_path}/t.py"]) == 0
     assert main(["batch", f"{tmp_path}/b.csv"]) == 1 and "1 of 2" in capsys.readouterr().out
+
+
+def test_patches_and_mosaic(spark):
+    image = np.arange(30 * 50, dtype=np.int64).reshape(30, 50).astype(np.uint8)
+    rows = spark.createDataFrame([(1, 50, 30, bytearray(image.tobytes()))], "img_id int, width int, height int, pixels binary")
+    for mode in ("shift", "clip", "pad"):
+        seen = np.zeros((30, 50), int)
+        for r in raster.patches(rows, 20, 4, mode).collect():
+            cut = np.frombuffer(bytes(r["pixels"]), np.uint8).reshape(r["height"], r["width"])
+            inside = image[r["y1"] : r["y1"] + 20, r["x1"] : r["x1"] + 20]
+            assert (cut[: inside.shape[0], : inside.shape[1]] == inside).all() and (mode != "pad" or cut.shape == (20, 20))
+            seen[r["y1"] : r["y1"] + 20, r["x1"] : r["x1"] + 20] += 1
+        assert seen.all()
+
+
+def test_sockets_of_both_families(spark, tmp_path):
+    (tmp_path / "tcp6").write_text("  sl  local_address remote_address st\n   0: 00000000000000000000000001000000:1F40 00000000000000000000000000000000:0000 0A x\n   1: 00000000000000000000000001000000:1F41 B80D0120000000000000000007000000:01BB 01 x\n")
+    got = files.sockets(spark, [f"{tmp_path}/tcp6", f"{tmp_path}/missing"])
+    assert [(r["laddr"], r["raddr"], r["status"]) for r in got.orderBy("seq").collect()] == [("::1:8000", "-", "LISTEN"), ("::1:8001", "2001:db8::7:443", "ESTABLISHED")]
+    v = audit.socket_verdict(got).first()
+    assert (v["sockets"], v["violations"], v["verdict"]) == (2, 1, "WARNING")
+    assert files.sockets(spark).count() >= 0
