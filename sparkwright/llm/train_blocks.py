@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 
-from sparkwright.llm.blocks import FIGURES, WIDTH, Labeller, _sigmoid, cut, run_lstm, vectors
+from sparkwright.llm.blocks import FIGURES, RUN, WIDTH, Labeller, _sigmoid, cut, run_lstm, vectors
 
 UNITS = 24
 #: Marks that tell the label of the words near them while training; cut() keeps them, and they are removed before vectors().
@@ -217,7 +217,7 @@ def train(pages: int = 6000, epochs: int = 14, seed: int = 7, rate: float = 0.01
 def accuracy(w: dict[str, np.ndarray], seed: int = 99, pages: int = 400) -> float:
     good = total = 0
     for x, y in examples(seed, pages):
-        p = Labeller(w).probabilities(x[:, None, :], np.ones((len(x), 1), bool))[:, 0]
+        p = Labeller(w).probabilities(lambda a, b, x=x: (x[a:b, None, :], np.ones((b - a, 1), bool)), len(x), RUN)[:, 0]
         good += int(((p >= 0.5) == (y > 0.5)).sum())
         total += len(y)
     return good / total

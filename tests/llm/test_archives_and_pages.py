@@ -118,3 +118,45 @@ def test_one_page_or_many_give_the_same():
     pages = [train_blocks.Writer(i).page().replace(train_blocks.YES, "").replace(train_blocks.NO, "") for i in range(40)]
     assert labeller.texts(pages, together=7) == [labeller.texts([p])[0] for p in pages]
     assert pa.array(labeller.texts([])).null_count == 0
+
+
+def test_pages_that_are_hard_to_cut():
+    import time
+
+    began = time.time()
+    got = blocks.Labeller.load().texts(["<a " * 350_000, "<div>x" * 100_000, "<b>" * 100_000 + "<div></div>" * 100_000, "<div>" * 100_000 + "</x>" * 100_000, "<a \"'>x" * 100_000])
+    assert len(got) == 5 and time.time() - began < 60
+    assert [t for _, t, _ in blocks.cut("<a " * 5)] == ["<a <a <a <a <a"]
+    assert [t for _, t, _ in blocks.cut("<math>a + b</math><object>c</object><p>d<canvas>e</canvas>")] == ["a + b", "c", "d", "e"]
+
+
+def test_long_pages_are_read_in_runs(monkeypatch):
+    labeller = blocks.Labeller.load()
+    pages = [train_blocks.Writer(i).page().replace(train_blocks.YES, "").replace(train_blocks.NO, "") for i in range(12)]
+    want = labeller.texts(pages)
+    for run in (1, 7, 40):
+        monkeypatch.setattr(blocks, "RUN", run)
+        assert labeller.texts(pages) == want
+
+
+def test_states_of_a_page_by_plain_loops():
+    """The labeller's probabilities against a second version: one page, one block, one unit at a time."""
+    import math
+
+    w = {k: v.astype(float) for k, v in blocks.Labeller.load().w.items()}
+    found = blocks.cut(train_blocks.Writer(3).page().replace(train_blocks.YES, "").replace(train_blocks.NO, ""))[:12]
+    x, units = blocks.vectors(found).astype(float), len(w["whf"])
+
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    sums = [float(w["c"].item())] * len(x)
+    for d, way, at in (("f", range(len(x)), 0), ("b", range(len(x) - 1, -1, -1), units)):
+        h, c = [0.0] * units, [0.0] * units
+        for t in way:
+            gate = [sum(x[t][i] * w[f"wx{d}"][i][j] for i in range(len(x[t]))) + sum(h[i] * w[f"wh{d}"][i][j] for i in range(units)) + w[f"b{d}"][j] for j in range(4 * units)]
+            c = [sigmoid(gate[units + j]) * c[j] + sigmoid(gate[j]) * math.tanh(gate[3 * units + j]) for j in range(units)]
+            h = [sigmoid(gate[2 * units + j]) * math.tanh(c[j]) for j in range(units)]
+            sums[t] += sum(h[j] * w["v"][at + j] for j in range(units))
+    got = blocks.Labeller.load().probabilities(lambda a, b: (blocks.vectors(found[a:b])[:, None, :], np.ones((b - a, 1), bool)), len(found), 5)[:, 0]
+    assert np.allclose(got, [sigmoid(s) for s in sums], atol=1e-4)
