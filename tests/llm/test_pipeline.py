@@ -57,3 +57,32 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_every_operator_is_registered():
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "mixing", "tokens"]
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    line = "seven words of prose that say little. "
+    rows = [
+        (1, line * 3, "src1"), (1, "quite another text of the same id, with words enough for some shingles.", "src1"),
+        (1, line * 3, "src1"), (2, line * 3 + "End.", None), (None, line * 3, "src2"), (None, None, None), (3, "", "src3"), (3, "", "src3"), (4, None, "x"),
+        (5, "Long text here. " * 40_000, "src4"), (6, "Long text here. " * 40_000, "src4"), (7, line * 3, "src1"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumn("_bits", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("key", F.lit(3)).withColumn("row", F.lit(None).cast("string")).withColumn("maybe", F.create_map(F.lit("k"), F.lit(1)))
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for part, empty in ((labels, False), (labels.limit(0), True)):
+        at = f"{tmp_path}/{empty}"
+        part.write.parquet(f"{at}/labels.parquet")
+        out = odd.limit(0) if empty else odd
+        for name, stage in cp.STAGES:
+            out = stage(spark, out, at)
+            if name != "tokens":
+                assert out.columns == odd.columns
+            out.write.parquet(f"{at}/{name}")
+            out = spark.read.schema(out.schema).parquet(f"{at}/{name}")
+            if name in ("quality", "mixing"):
+                continue
+            ids = sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=lambda x: (x is None, x))
+            assert ids == ([] if empty else [1, 1, 3, 3, 4, 5, None, None]), name
+    texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/False/near_duplicates").filter("doc_id = 1").collect()]
+    assert sorted(texts) == sorted([rows[0][1], rows[1][1]])
