@@ -146,7 +146,7 @@ def adapter_swaps(spark, d):
     return retrieval.adapter_swaps(q).select("order", "domain", "adapter", "swapped")
 
 
-ACTIONS = ("Opened drawing", "Operator authenticated by key", "Ran check", "Switched sovereign persona to Auditor", "Terminated cryptographic session", "Vault unlocked")
+ACTIONS = ("Opened drawing", "Operator authenticated by key", "Ran check", "Switched active persona to Auditor", "Terminated cryptographic session", "Vault unlocked")
 
 
 def named_sessions(spark, d):
