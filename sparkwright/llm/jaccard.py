@@ -180,14 +180,21 @@ def _postings(k: int, limit: Threshold, often: Broadcast, buckets: int) -> Calla
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings by (token, n) to those that may meet another, with the node that each is tied to, or null.
+    """Postings by (token, n, node) to those that may meet another, with the node that each is tied to, or null.
 
-    A posting is kept if it is tied or the next one of its list is not beyond its reach. Of a list that goes on in the next batch,
+    Postings of one set that several tasks have dealt are one. A posting is kept if it is tied or the next one of its list is not beyond its reach. Of a list that goes on in the next batch,
     only the sets that reached further than all before are held.
     """
-    held, told = None, np.zeros(0, bool)
+    held, told, last = None, np.zeros(0, bool), None
     for batch in batches:
         cols = [batch.column(i).to_numpy() for i in range(4)]
+        if not len(cols[0]):
+            continue
+        fresh = np.ones(len(cols[0]), bool)
+        fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        fresh[0] = last != (cols[0][0], cols[1][0])
+        last = cols[0][-1], cols[1][-1]
+        cols = [c[fresh] for c in cols]
         old = len(told)
         token, node, n, reach = cols = [np.concatenate(pair) for pair in zip(held, cols, strict=True)] if held else cols
         if not len(token):
@@ -336,7 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = rows.filter("doc_id IS NOT NULL")
     met = known.mapInArrow(_postings(k, limit, often, buckets), "bucket int, token array<long>, node array<long>, n array<int>, reach array<int>")
-    met = met.repartition("bucket").select(F.inline(F.arrays_zip("token", "node", "n", "reach"))).sortWithinPartitions("token", "n")
+    met = met.repartition("bucket").select(F.inline(F.arrays_zip("token", "node", "n", "reach"))).sortWithinPartitions("token", "n", "node")
     shared = materialise(met.mapInArrow(_shared, "token long, node long, n int, reach int, partner long"), "shared")
     often.destroy()
     # of equal sets the first is searched for all

@@ -119,12 +119,12 @@ def test_linked_sets_are_tied():
             often = np.unique(r.choice(base, len(base) // 2 + 1))
             often = often, r.integers(1, 9, len(often)).astype(np.uint64)
             rows = [(int(t.view(np.int64)), i, len(s), int(x)) for i, s in enumerate(sets) for t, x in zip(*jaccard.short_lists(s, limit, often), strict=True)]
-            rows.sort(key=lambda row: (row[0], row[2]))
+            once, rows = rows, sorted(rows + [r_ for r_ in rows if r_[1] % 3 == 0], key=lambda row: (row[0], row[2], row[1]))
             cut = int(r.integers(1, len(rows)))
             batches = [pa.RecordBatch.from_pylist([dict(zip(("token", "node", "n", "reach"), row, strict=True)) for row in some]) for some in (rows[:cut], rows[cut:]) if some]
             kept = [t for batch in jaccard._shared(iter(batches)) for t in batch.to_pylist()]
-            meet = {row[:2] for row in rows for other in rows if row[0] == other[0] and row[1] != other[1] and row[2] <= other[3] and other[2] <= row[3]}
-            assert meet <= {(t["token"], t["node"]) for t in kept} <= {row[:2] for row in rows} and len(kept) <= len(rows)
+            meet = {row[:2] for row in once for other in once if row[0] == other[0] and row[1] != other[1] and row[2] <= other[3] and other[2] <= row[3]}
+            assert meet <= {(t["token"], t["node"]) for t in kept} <= {row[:2] for row in once} and len(kept) == len({(t["token"], t["node"]) for t in kept})
             ties = [(t["node"], t["partner"]) for t in kept if t["partner"] is not None]
             assert len(ties) < len(rows)
             root = roots(range(12), ties)
