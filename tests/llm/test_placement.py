@@ -145,6 +145,8 @@ def test_filter_never_misses(spark):
 
     ids = spark.range(0, 4000, 7).withColumnRenamed("id", "k")
     df = spark.range(4000).withColumnRenamed("id", "k").union(spark.createDataFrame([(None,)], "k long"))
-    got = {r["k"]: r["_maybe"] for r in maybe_among(df, "k", ids, 17).collect()}
+    got = {r["row"]["k"]: r["maybe"] for r in maybe_among(df, "k", ids, 17).collect()}
     assert len(got) == 4001 and all(got[k] for k in range(0, 4000, 7)) and sum(got.values()) < 700
-    assert not any(r["_maybe"] for r in maybe_among(df, "k", ids.limit(0)).collect())
+    assert not any(r["maybe"] for r in maybe_among(df, "k", ids.limit(0)).collect())
+    odd = df.selectExpr("k", "k AS row", "k AS maybe", "k AS at", "k AS bits", "k AS `a.b`")
+    assert maybe_among(odd, "k", ids).select("row.*").columns == odd.columns
