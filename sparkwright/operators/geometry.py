@@ -7,6 +7,7 @@ every choice depends on those before; their groups are bounded by what one drawi
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable
 
 import numpy as np
@@ -154,33 +155,82 @@ def cluster(points: DataFrame, near: float = NEAR) -> DataFrame:
 
 
 def stitch_lines(lines: list[list[tuple[float, float]]], near: float = NEAR) -> list[list[tuple[float, float]]]:
-    """Polylines joined end to end while two ends are within ``near``, in any of the four ways; repeated points go."""
+    """Polylines joined end to end while two ends are within ``near``, in any of the four ways; repeated points go.
+
+    A line takes the first of the lines behind it that one of its ends meets, again and again; the next line that is left
+    follows. Those behind are still whole, so their ends stay in cells, in order, until they are taken.
+    Ends that are not finite meet nothing.
+    """
     lines = [list(map(tuple, p)) for p in lines if p]
     gap = lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1])
-    joined = True
-    while joined:
-        joined = False
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines)):
-                a, b = lines[i], lines[j]
-                ways = [(gap(a[-1], b[0]), a + b), (gap(a[-1], b[-1]), a + b[::-1]), (gap(a[0], b[0]), a[::-1] + b), (gap(a[0], b[-1]), b + a)]
-                best = min(ways, key=lambda w: w[0])
-                if best[0] <= near:
-                    lines[i] = best[1]
-                    del lines[j]
-                    joined = True
-                    break
-            if joined:
+    size = 1.25 * near if near > 0 else 1.0  # no rounding puts two ends that meet into cells that do not touch
+    cell = lambda p: (math.floor(p[0] / size), math.floor(p[1] / size)) if math.isfinite(p[0]) and math.isfinite(p[1]) else None
+    held: dict[tuple[int, int], dict[int, None]] = {}
+    ends = [{c for c in (cell(p[0]), cell(p[-1])) if c} for p in lines]
+    for k, cells in enumerate(ends):
+        for c in cells:
+            held.setdefault(c, {})[k] = None
+
+    def take(k: int) -> None:
+        left[k] = False
+        for c in ends[k]:
+            del held[c][k]
+            if not held[c]:
+                del held[c]
+
+    def first(p: tuple[float, float], best: int) -> int:
+        """The first line left that has an end near p, if it comes before ``best``."""
+        if at := cell(p):
+            for dx in (0, -1, 1):
+                for dy in (0, -1, 1):
+                    for k in held.get((at[0] + dx, at[1] + dy), ()):
+                        if k >= best:
+                            break
+                        if gap(p, lines[k][0]) <= near or gap(p, lines[k][-1]) <= near:
+                            best = k
+                            break
+        return best
+
+    left, out = [True] * len(lines), []
+    for i in range(len(lines)):
+        if not left[i]:
+            continue
+        take(i)
+        line, turned = deque(lines[i]), False  # turned: the line runs from the right end to the left one
+        met: dict[tuple[float, float], int] = {}  # the first line that an end meets, until it is taken
+        while True:
+            head, tail = (line[-1], line[0]) if turned else (line[0], line[-1])
+            for p in (head, tail):
+                if p not in met or met[p] < len(lines) and not left[met[p]]:
+                    met[p] = first(p, len(lines))
+            j = min(met[head], met[tail])
+            if j == len(lines):
                 break
-    return [[p for k, p in enumerate(line) if not k or gap(p, line[k - 1]) > 1e-4] for line in lines]
+            take(j)
+            b = lines[j]
+            gaps = [gap(tail, b[0]), gap(tail, b[-1]), gap(head, b[0]), gap(head, b[-1])]
+            way = min(range(4), key=lambda w: gaps[w] if gaps[w] == gaps[w] else math.inf)
+            turned ^= way == 2  # the line's other end comes first from here on
+            new = b[::-1] if way == 1 else b
+            if way == 3:
+                (line.extend if turned else line.extendleft)(reversed(new))
+            else:
+                (line.extendleft if turned else line.extend)(new)
+            met = {p: met[p] for p in (head, tail)}
+        out.append(list(reversed(line)) if turned else list(line))
+    return [[p for k, p in enumerate(line) if not k or not gap(p, line[k - 1]) <= 1e-4] for line in out]
 
 
 def stitch(lines: DataFrame, near: float = NEAR) -> DataFrame:
-    """(img_id, line_no, points) of the stitched lines of each drawing; lines: img_id, line_id, points ARRAY<STRUCT<x, y>>."""
+    """(img_id, line_no, points) of the stitched lines of each drawing; lines: img_id, line_id, points ARRAY<STRUCT<x, y>>.
+
+    Lines without points go; a missing coordinate meets nothing.
+    """
+    known = lambda v: math.nan if v is None else v
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("line_id")
-        out = stitch_lines([[(p["x"], p["y"]) for p in points] for points in g["points"]], near)
+        out = stitch_lines([[(known(p["x"]), known(p["y"])) for p in points] if points is not None else [] for points in g["points"]], near)
         return pd.DataFrame([(g["img_id"].iloc[0], i, [{"x": float(x), "y": float(y)} for x, y in p]) for i, p in enumerate(out)], columns=["img_id", "line_no", "points"])
 
     return lines.groupBy("img_id").applyInPandas(run, f"img_id {dict(lines.dtypes)['img_id']}, line_no int, points array<struct<x:double,y:double>>")
